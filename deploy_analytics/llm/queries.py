@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, toxicity
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
