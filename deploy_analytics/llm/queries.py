@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, secret_scan, toxicity
+from . import exact_dedup, near_dedup, packing, secret_scan, toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
