@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, merkle, near_dedup, packing, secret_scan, toxicity
+from . import byte_bpe, exact_dedup, lm_score, merkle, near_dedup, packing, secret_scan, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_fingerprints": merkle.op4_fingerprints,
     "op9_near_dedup": near_dedup.op9_near_dedup,
