@@ -1,4 +1,4 @@
-"""Keccak-256 over columns of bytes: numpy works on all rows of a batch with as many blocks at once."""
+"""Keccak-256 over columns of bytes: numpy works on a block of every row of a batch at once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 RATE = 136  #: bytes absorbed at a time
-LANES = 1 << 20  #: bytes of input permuted together
+TOGETHER = 1 << 25  #: bytes of input hashed together
 
 
 def _round_constants() -> list[int]:
@@ -56,29 +56,38 @@ def _permute(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def _hash_some(rows: list[bytes]) -> list[bytes]:
+    """Digests of rows sorted by length, longest first: step by step all rows that still have a block."""
+    blocks = np.array([len(r) // RATE + 1 for r in rows])
+    starts = np.concatenate([[0], np.cumsum(blocks * RATE)])
+    padded = np.zeros(starts[-1], np.uint8)
+    for at, end, row in zip(starts, starts[1:], rows, strict=False):
+        padded[at : at + len(row)] = np.frombuffer(row, np.uint8)
+        padded[at + len(row)] ^= 1
+        padded[end - 1] ^= 0x80
+    words = padded.view("<u8")
+    first, lanes = starts[:-1] // 8, np.arange(RATE // 8)
+    state = np.zeros((5, 5, len(rows)), np.uint64)
+    for step in range(blocks[0]):
+        n = int(np.searchsorted(-blocks, -step, side="left"))  # rows with more than step blocks
+        taken = words[first[:n, None] + step * len(lanes) + lanes]
+        some = state[:, :, :n].copy()
+        for lane in lanes:
+            some[lane % 5, lane // 5] ^= taken[:, lane]
+        state[:, :, :n] = _permute(some)
+    digests = np.stack([state[x, 0] for x in range(4)], axis=1).astype("<u8")
+    return [d.tobytes() for d in digests]
+
+
 def keccak256_many(rows: list[bytes]) -> list[bytes]:
     out: list[bytes] = [b""] * len(rows)
-    groups: dict[int, list[int]] = {}
-    for i, row in enumerate(rows):
-        groups.setdefault(len(row) // RATE + 1, []).append(i)
-    for blocks, members in groups.items():
-        step = max(1, LANES // (blocks * RATE))
-        for at in range(0, len(members), step):
-            some = members[at : at + step]
-            padded = np.zeros((len(some), blocks * RATE), np.uint8)
-            for k, i in enumerate(some):
-                padded[k, : len(rows[i])] = np.frombuffer(rows[i], np.uint8)
-                padded[k, len(rows[i])] ^= 1
-            padded[:, -1] ^= 0x80
-            words = padded.view("<u8").reshape(len(some), blocks, RATE // 8)
-            state = np.zeros((5, 5, len(some)), np.uint64)
-            for block in range(blocks):
-                for lane in range(RATE // 8):
-                    state[lane % 5, lane // 5] ^= words[:, block, lane]
-                state = _permute(state)
-            digest = np.stack([state[x, 0] for x in range(4)], axis=1).astype("<u8")
-            for k, i in enumerate(some):
-                out[i] = digest[k].tobytes()
+    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+    while order:
+        size = np.cumsum([len(rows[i]) + RATE for i in order])
+        cut = max(1, int(np.searchsorted(size, TOGETHER)))
+        some, order = order[:cut], order[cut:]
+        for i, digest in zip(some, _hash_some([rows[i] for i in some]), strict=True):
+            out[i] = digest
     return out
 
 

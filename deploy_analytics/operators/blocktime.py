@@ -85,7 +85,7 @@ def windows(specs: DataFrame) -> DataFrame:
     raw = "try_cast(bucket as bigint)"
     named = f"case bucket when 'hour' then d div 24 when 'day' then d when 'week' then 7 * d when 'month' then 30 * d when 'year' then 365 * d else coalesce({raw}, d) end"
     rows = specs.withColumn("d", blocks_per_day("chain_id", "anchor_block"))
-    rows = rows.withColumn("end_", F.expr("least(coalesce(end_block, anchor_block), anchor_block)")).withColumn("start_", F.least("start_block", "end_"))
+    rows = rows.withColumn("end_", F.expr("least(coalesce(end_block, anchor_block), anchor_block)")).withColumn("start_", F.expr("if(start_block is null, null, least(start_block, end_))"))
     rows = rows.withColumn("w", F.expr(pick(0))).withColumn("width", F.expr(pick(1)))
     rows = rows.withColumn(
         "bucket_blocks",

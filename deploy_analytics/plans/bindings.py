@@ -54,7 +54,7 @@ def metadata_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verification labels on both chains; a third of them twice."""
     one = table(spark, sf_dir, "supplier").select(
-        F.explode(F.array(F.lit(1), F.lit(100))).cast("long").alias("chain_id"),
+        F.explode(F.array(F.lit(1).cast("long"), F.lit(100).cast("long"))).alias("chain_id"),
         F.col("s_suppkey").alias("contract_address"),
         F.expr("s_acctbal > 5000").alias("is_verified"),
         F.col("s_name").alias("contract_name"),
@@ -153,11 +153,11 @@ REGISTRY = """reg AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN
   CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_orderkey * 2 END AS block_number,
   CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_custkey % 7 END AS transaction_index,
   'contract_deployments_' || (o_orderkey % 3) AS file FROM orders),
-  ver AS (SELECT l_orderkey AS deployment_id, epoch(l_shipdate)::BIGINT AS created_at, l_returnflag = 'A' AS runtime_match,
+  ver AS (SELECT l_orderkey AS deployment_id, epoch_us(l_shipdate) // 1000000 AS created_at, l_returnflag = 'A' AS runtime_match,
   l_linestatus = 'F' AND l_linenumber > 2 AS creation_match, CASE WHEN l_quantity > 40 THEN NULL ELSE l_returnflag = 'N' END AS runtime_metadata_match,
   l_linestatus = 'O' AND l_quantity > 25 AS creation_metadata_match, 'verified_contracts_' || l_linenumber AS file FROM lineitem)"""
 
-CHECKPOINTS = "cp AS (SELECT 1::BIGINT AS chain_id, event_id AS block_number, epoch(ts)::BIGINT AS block_timestamp FROM events WHERE event_id % 500 = 0)"
+CHECKPOINTS = "cp AS (SELECT 1::BIGINT AS chain_id, event_id AS block_number, epoch_us(ts) // 1000000 AS block_timestamp FROM events WHERE event_id % 500 = 0)"
 
 TRACES = """tr AS (SELECT l_orderkey AS block_number, CASE WHEN l_orderkey % 5 = 0 THEN 100 ELSE 1 END::BIGINT AS chain_id,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS pos,

@@ -150,7 +150,7 @@ def src11(spark, sf):
     return landed_traces(spark, sf).select("chain_id", "block_number", F.col("pos").cast("long").alias("pos"), F.col("trace.type").alias("kind"), (F.size("trace.traceAddress") == 0).alias("at_root"))
 
 
-@query("src12_block_headers", "SELECT 1::BIGINT AS chain_id, event_id AS block_number, epoch(ts)::BIGINT AS block_timestamp FROM events")
+@query("src12_block_headers", "SELECT 1::BIGINT AS chain_id, event_id AS block_number, epoch_us(ts) // 1000000 AS block_timestamp FROM events")
 def src12(spark, sf):
     path, rows = scratch(spark, "headers"), b.table(spark, sf, "events")
     time = F.concat(F.lit("0x"), F.lower(F.hex(F.unix_seconds(F.col("ts").cast("timestamp")))))
@@ -749,7 +749,7 @@ def tim01(spark, sf):
 
 @query(
     "tim02_time_blocks",
-    f"""WITH {CHECKPOINTS}, ev AS (SELECT 1::BIGINT AS chain_id, epoch(ts)::BIGINT + (event_id % 7 - 3) * 40000 AS time FROM events),
+    f"""WITH {CHECKPOINTS}, ev AS (SELECT 1::BIGINT AS chain_id, epoch_us(ts) // 1000000 + (event_id % 7 - 3) * 40000 AS time FROM events),
     seg AS (SELECT *, lead(block_number) OVER w AS b1, lead(block_timestamp) OVER w AS t1, lag(block_number) OVER w AS bp, lag(block_timestamp) OVER w AS tp FROM cp WINDOW w AS (ORDER BY block_number))
     SELECT time, CASE WHEN s.block_number IS NULL THEN (SELECT min(block_number) FROM cp) WHEN b1 IS NULL THEN s.block_number + (time - block_timestamp) * 1000 // ((block_timestamp - tp) * 1000 // (s.block_number - bp))
     ELSE s.block_number + (time - block_timestamp) * (b1 - s.block_number) // (t1 - block_timestamp) END::BIGINT AS block_number FROM ev ASOF LEFT JOIN seg s ON ev.chain_id = s.chain_id AND ev.time >= s.block_timestamp""",
