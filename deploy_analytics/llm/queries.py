@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, lm_score, merkle, near_dedup, packing, secret_scan, toxicity
+from . import byte_bpe, exact_dedup, license_scan, line_dedup, lm_score, merkle, near_dedup, packing, secret_scan, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_lm_score": lm_score.op2_lm_score,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_fingerprints": merkle.op4_fingerprints,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
