@@ -27,13 +27,6 @@ from pyspark.sql import functions as F
 from . import store, tokens
 
 
-def byte_characters() -> list[str]:
-    """The character of each byte: itself if printable in Latin-1, else the next free one from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in printable else next(spare)) for b in range(256)]
-
-
 def _merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     """Every way to join two tokens into one, in the order of the joined token's rank."""
     found = []
@@ -68,7 +61,7 @@ class Codec:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.ranks = tokens.read_ranks(path)
-        self.character = byte_characters()
+        self.character = tokens.byte_characters()
         spell = lambda b: "".join(self.character[x] for x in b)
         model = models.BPE({spell(t): r for t, r in self.ranks.items()}, [(spell(a), spell(b)) for a, b in _merges(self.ranks)], ignore_merges=True)
         self.tokenizer = Tokenizer(model)
@@ -80,14 +73,18 @@ class Codec:
             self.bytes_of[rank] = token
         self.memo = tokens.Memo(self._encode)
 
-    def _encode(self, match: str) -> bytes:
-        (found,) = self.tokenizer.encode_batch_fast([match], add_special_tokens=False)
-        exact = self.plain.encode_ordinary(match)
-        return tokens.ids_bytes(found.ids if found.ids == exact else exact)
+    def _encode(self, matches: list[str]) -> list[bytes]:
+        out = []
+        for match, found in zip(matches, self.tokenizer.encode_batch_fast(matches, add_special_tokens=False), strict=True):
+            exact = self.plain.encode_ordinary(match)
+            out.append(tokens.ids_bytes(found.ids if found.ids == exact else exact))
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit bytes."""
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+        matches = self.split(text)
+        self.memo.learn(set(matches))
+        return b"".join(map(self.memo.__getitem__, matches))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -146,8 +146,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
         memo = tokens.word_memo(tokenizer)
         for batch in batches:
             of, number, length, crc, kept = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                ids = tokens.word_ids(t, memo) + END
+            for i, ids in enumerate(tokens.word_ids(batch.column(1).to_pylist(), memo)):
+                ids += END
                 for at in range(0, len(ids), size):
                     part = ids[at : at + size]
                     of.append(i)

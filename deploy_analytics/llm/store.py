@@ -31,18 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def discard(*tables: DataFrame | None) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that no later stage reads."""
     for df in tables:
-        if df is None:
-            continue
-        jvm = df.sparkSession._jvm
-        for root in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def python_workers(spark: SparkSession) -> None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import os
 
+TOGETHER = 200  #: texts whose new parts are encoded together
 MEMO = 400_000  #: parts of the current generation; the one before it is kept too
 
 
@@ -20,29 +21,75 @@ def limit_threads() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+def ids_bytes(ids) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
 class Memo(dict):
-    """part -> its ids as little-endian unsigned 32-bit bytes; parts not met for two generations are forgotten."""
+    """part -> its ids as little-endian unsigned 32-bit bytes; parts not met for two generations are forgotten.
+
+    encode takes a list of parts. A part may be made of others by ``cut``, which gives
+    its pieces or None; the pieces are then remembered too.
+    """
 
-    def __init__(self, encode, cap: int = MEMO):
+    def __init__(self, encode, cut=None, cap: int = MEMO):
         super().__init__()
-        self.encode, self.cap, self.old = encode, cap, {}
+        self.encode, self.cut, self.cap, self.old = encode, cut or (lambda part: None), cap, {}
 
-    def __missing__(self, part: bytes) -> bytes:
-        if len(self) >= self.cap:
+    def __missing__(self, part):
+        self.learn({part})
+        return dict.__getitem__(self, part)
+
+    def learn(self, parts: set) -> None:
+        """Remember the ids of parts, new ones encoded together."""
+        missing = [p for p in parts if p not in self]
+        if len(self) + len(missing) > self.cap:
             self.old = dict(self)
             self.clear()
-        found = self.old.get(part)
-        if found is None:
-            found = self.encode(part)
-        self[part] = found
-        return found
+        whole, made = set(), {}
+        for part in missing:
+            if (found := self.old.get(part)) is not None:
+                self[part] = found
+            elif (pieces := self.cut(part)) is not None:
+                made[part] = pieces
+            else:
+                whole.add(part)
+        for piece in {p for pieces in made.values() for p in pieces if p not in self}:
+            if (found := self.old.get(piece)) is not None:
+                self[piece] = found
+            else:
+                whole.add(piece)
+        fresh = list(whole)
+        self.update(zip(fresh, self.encode(fresh), strict=True) if fresh else ())
+        for part, pieces in made.items():
+            self[part] = b"".join(dict.__getitem__(self, p) for p in pieces)
 
 
-def ids_bytes(ids) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+_kept: dict[tuple, Memo] = {}
 
 
-_kept: dict[tuple, Memo] = {}
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  #: ASCII signs but the apostrophe, which contractions use
+
+
+def _without_signs(part: bytes) -> tuple[bytes, bytes] | None:
+    """A word and the signs behind it: no token spans a letter or digit and a sign, and signs in a row are one part."""
+    text = part.decode()
+    word = text.rstrip(SIGNS)
+    if not word or len(word) == len(text) or not (word[-1] < "\u0250" and word[-1].isalpha() or "0" <= word[-1] <= "9"):
+        return None
+    return word.encode(), text[len(word) :].encode()
+
+
+def _plain_word(text: str) -> bool:
+    """Lower-case Latin letters alone: normalizing and splitting leave them as they are."""
+    return text.isalpha() and max(text) < "\u0250" and text == text.lower()
+
+
+def byte_characters() -> list[str]:
+    """The character of each byte: itself if printable in Latin-1, else the next free one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
 def word_memo(path: str) -> Memo:
@@ -53,18 +100,32 @@ def word_memo(path: str) -> Memo:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        def encode(part: bytes) -> bytes:
-            (found,) = tokenizer.encode_batch_fast([part.decode()], add_special_tokens=False)
-            return ids_bytes(found.ids)
-
-        _kept["word", path] = Memo(encode)
+        character, model = byte_characters(), tokenizer.model
+
+        def encode(parts: list[bytes]) -> list[bytes]:
+            out, hard = [b""] * len(parts), []
+            for i, text in enumerate(p.decode() for p in parts):
+                if _plain_word(text):
+                    spelt = text if text.isascii() else "".join(character[x] for x in parts[i])
+                    out[i] = ids_bytes(t.id for t in model.tokenize(spelt))
+                else:
+                    hard.append(i)
+            for i, found in zip(hard, tokenizer.encode_batch_fast([parts[i].decode() for i in hard], add_special_tokens=False), strict=True):
+                out[i] = ids_bytes(found.ids)
+            return out
+
+        _kept["word", path] = Memo(encode, _without_signs)
     return _kept["word", path]
 
 
-def word_ids(text: str, memo: Memo) -> bytes:
-    """Ids of a whole text. The tokenizer lower-cases, so lower-casing A-Z first changes nothing."""
-    return b"".join(map(memo.__getitem__, text.encode().lower().split()))
+def word_ids(texts: list[str], memo: Memo) -> list[bytes]:
+    """Ids of whole texts. The tokenizer lower-cases, so lower-casing A-Z first changes nothing."""
+    out = []
+    for at in range(0, len(texts), TOGETHER):
+        split = [t.encode().lower().split() for t in texts[at : at + TOGETHER]]
+        memo.learn(set().union(*split))
+        out += [b"".join(map(memo.__getitem__, parts)) for parts in split]
+    return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

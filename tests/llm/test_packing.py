@@ -1,11 +1,21 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from deploy_analytics.llm import packing
+from deploy_analytics.llm import packing, tokens
+
+
+@lru_cache
+def plain_tokenizer(path):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
 
 
 def check(rows, capacity=2048):
@@ -37,6 +47,21 @@ def test_query_against_plain_tokenizing(spark):
     assert check(rows) <= -(-total // 2048) + 1
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("abcÉéßÀñİſ19 .,'!?-#$\n\t\u0301\u00a0"), st.characters(codec="utf-8")), max_size=30))
+def test_word_ids_of_any_text(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = plain_tokenizer(path)
+    assert tokens.word_ids([text], tokens.word_memo(path)) == [tokens.ids_bytes(plain.encode(text, add_special_tokens=False).ids)]
+
+
+def test_memo_forgets_and_still_answers():
+    memo = tokens.Memo(lambda parts: [p * 4 for p in parts], cap=3)
+    for part in (b"a", b"b", b"c", b"d", b"a", b"e", b"f", b"g", b"a"):
+        assert memo[part] == part * 4
+    assert len(memo) <= 3
+
+
 def test_fullest_matches_brute_force():
     random.seed(5)
     for _ in range(200):
