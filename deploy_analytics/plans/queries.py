@@ -655,6 +655,15 @@ def ana02(spark, sf):
     return analytics.deploys_over_time(counts(spark, sf), b.checkpoints(spark, sf), 1, 300, SPAN)
 
 
+@query(
+    "ana02_full_history",
+    f"""WITH {DEP}, {CHECKPOINTS}, g AS (SELECT 1::BIGINT AS chain_id, block_number // 100 * 100 AS block_start, block_number // 100 * 100 + 99 AS block_end, block_number // 100 * 100 + 50 AS mid, count(*) AS count FROM dep WHERE chain_id = 1 GROUP BY ALL),
+    {as_of_sql("g", "mid", "time")} SELECT block_start, block_end, time, count FROM timed""",
+)
+def ana02_full(spark, sf):
+    return analytics.deploys_over_time(counts(spark, sf), b.checkpoints(spark, sf), 1, 100)
+
+
 @query(
     "ana03_verified_ratio",
     f"""WITH {DEP}, {LABELS}, {VERIFIED}, t AS (SELECT block_number // 300 AS k, count(*) AS n FROM dep WHERE chain_id = 1 AND block_number {IN} GROUP BY 1), v AS (SELECT block_number // 300 AS k, count(*) AS v FROM ok WHERE chain_id = 1 AND block_number {IN} GROUP BY 1)
