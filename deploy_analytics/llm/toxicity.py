@@ -31,7 +31,7 @@ from . import store
 
 WORD = re.compile(r"\w+")
 STEMS = (3, 4, 5, 6)  #: lengths of word beginnings
-BUCKETS = 2048  #: hashed word beginnings of the classifier
+BUCKETS = 1024  #: hashed word beginnings of the classifier
 MEMO = 300_000  #: words a worker remembers
 LABEL_ACCURACY = 0.95  #: of a given label as a voter
 PATTERNS = {
@@ -131,7 +131,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.n
     within a class, as residuals from the rates, shrink the weights of voters that
     repeat one another.
     """
-    votes = np.column_stack([votes, votes.sum(1) == 0])
+    votes = np.column_stack([votes, votes.sum(1) == 0]).astype(np.float32)
     q = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
     given = np.where(labels == 1, 1.0, -1.0) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
     for _ in range(rounds):
@@ -147,15 +147,16 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.n
     return q
 
 
-def train_linear(votes: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, steps: int = 150):
-    """Weights of votes and hashed stems, and bias, by full gradient steps on soft labels."""
+def train_linear(votes: np.ndarray, shares: np.ndarray, target: np.ndarray, steps: int = 150):
+    """Weights of votes and of hashed stems' shares, and bias, by full gradient steps on soft labels."""
     n, m = votes.shape
     w, b = np.zeros(m + BUCKETS), -2.0
     first, second = np.zeros(m + BUCKETS + 1), np.zeros(m + BUCKETS + 1)
     for t in range(1, steps + 1):
-        z = votes @ w[:m] + np.bincount(rows, values * w[m + cols], n) + b
+        z = votes @ w[:m].astype(np.float32) + shares @ w[m:].astype(np.float32) + b
         gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        grad = np.concatenate([gap @ votes + 1e-5 * w[:m], np.bincount(cols, values * gap[rows], BUCKETS) + 1e-2 * w[m:], [gap.sum()]])
+        narrow = gap.astype(np.float32)
+        grad = np.concatenate([narrow @ votes + 1e-5 * w[:m], narrow @ shares + 1e-2 * w[m:], [gap.sum()]])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -188,18 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> Model:
                 for w in words:
                     memo[w]
                 c = Counter(bucket(w) for w in words)
-                out.append((label, sorted(memo.fired(text, words)), list(c), [x / len(words) for x in c.values()]))
+                out.append((label, sorted(memo.fired(text, words)), np.array(list(c), np.int16).tobytes(), (np.array(list(c.values()), np.float32) / max(1, len(words))).tobytes()))
             yield pd.DataFrame(out, columns=["label", "fired", "cols", "shares"])
 
-    got = sample.mapInPandas(features, "label int, fired array<int>, cols array<int>, shares array<float>").toPandas()
-    labels_ = got["label"].to_numpy()
-    votes = np.zeros((len(got), len(voters) + len(PATTERNS)))
-    for i, f in enumerate(got["fired"]):
-        votes[i, f] = 1
-    size = got["cols"].map(len).to_numpy()
-    flat = lambda c, kind: np.concatenate([*got[c], np.zeros(0)]).astype(kind)
-    posterior = label_model(votes, labels_)
-    w, hashed, b = train_linear(votes, np.repeat(np.arange(len(got)), size), flat("cols", np.int64), flat("shares", np.float64), posterior)
+    # at most sample_rows rows: a matrix of 4 kB each
+    got = sample.mapInPandas(features, "label int, fired array<int>, cols binary, shares binary").toPandas()
+    votes = np.zeros((len(got), len(voters) + len(PATTERNS)), np.float32)
+    shares = np.zeros((len(got), BUCKETS), np.float32)
+    for i, (fired, cols, values) in enumerate(zip(got["fired"], got["cols"], got["shares"], strict=True)):
+        votes[i, fired] = 1
+        shares[i, np.frombuffer(cols, np.int16)] = np.frombuffer(values, np.float32)
+    w, hashed, b = train_linear(votes, shares, label_model(votes, got["label"].to_numpy()))
     return Model(voters, w, hashed, b)
 
 
