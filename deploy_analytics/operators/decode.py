@@ -34,6 +34,11 @@ def decode_hashes(codes: DataFrame, known: DataFrame, as_of: str) -> DataFrame:
     return rows.select("code_hash", *FOUND, F.lit(as_of).cast("timestamp").alias("decoded_at"))
 
 
+def decode_live(rows: DataFrame, known: DataFrame, as_of: str) -> DataFrame:
+    """Metadata of hashes that a batch of new deployments brings and that no earlier one had; hashes have 32 bytes."""
+    return decode_hashes(rows.filter(F.octet_length("code_hash") == 32), known, as_of)
+
+
 def decode_addresses(rows: DataFrame, by_hash: DataFrame, source: str) -> DataFrame:
     """Metadata per address of eligible rows of a source file, from that of their hashes."""
     found = by_hash.select("code_hash", *FOUND)

@@ -487,6 +487,18 @@ def dec13(spark, sf):
     return decode.unfinished(files, done).select("path")
 
 
+@query("dec14_live_decode", "SELECT count(*) AS n, count(DISTINCT code_hash) AS hashes FROM (SELECT DISTINCT sha256(doc_id::VARCHAR) AS code_hash FROM documents WHERE doc_id % 10 > 0 AND octet_length(encode(text)) BETWEEN 1 AND 65536)")
+def dec14(spark, sf):
+    """Two batches that share hashes; a tenth of the hashes is malformed."""
+    tables = Tables(spark, scratch(spark, "dec14"))
+    hashed = F.expr("unhex(if(code_hash % 10 > 0, sha2(cast(code_hash as string), 256), 'AB'))")
+    rows = b.bytecodes(spark, sf).select((F.col("code_hash") % 2).alias("half"), hashed.alias("code_hash"), "code")
+    schema = decode.decode_live(rows, rows.limit(0), "2024-01-01").schema
+    for batch, part in enumerate((rows.filter("half = 0"), rows)):
+        tables.append("by_hash", decode.decode_live(part, tables.batches("by_hash", schema, besides=batch), "2024-01-01"), batch)
+    return tables.batches("by_hash", schema).agg(F.count("*").alias("n"), F.countDistinct("code_hash").alias("hashes"))
+
+
 @query("dec15_current_by_hash", f"WITH {GENERATIONS} SELECT code_hash, compiler_version, language, decoded_at FROM (SELECT *, row_number() OVER (PARTITION BY code_hash ORDER BY decoded_at DESC NULLS LAST, compiler_version NULLS LAST) AS n FROM gens) WHERE n = 1")
 def dec15(spark, sf):
     return decode.current_by_hash(b.metadata_generations(spark, sf)).select("code_hash", "compiler_version", "language", "decoded_at")
@@ -961,6 +973,17 @@ def str02(spark, sf):
     return rows.groupBy("chain_id").agg(F.max("block_number").alias("last"), F.count("*").alias("n"))
 
 
+@query("str03_catch_up", f"WITH {DEP} SELECT chain_id, count(*) AS n, true AS several_ticks FROM dep GROUP BY chain_id")
+def str03(spark, sf):
+    """Files that landed before the first tick are taken one at a tick."""
+    root = scratch(spark, "str03")
+    b.raw_deployments(spark, sf).repartition(3, "block_number").write.parquet(f"{root}/in")
+    follower = Follower(spark, f"{root}/out", 0, WIDTH)
+    follower.run(f"{root}/in", files_a_tick=1).awaitTermination()
+    ticks = len(follower.tables._committed("deployments", "batch"))
+    return follower.deployments().groupBy("chain_id").agg(F.count("*").alias("n"), F.lit(ticks > 1).alias("several_ticks"))
+
+
 @query("str04_decode_unseen", "SELECT count(*) AS n FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 65536")
 def str04(spark, sf):
     """Hashes are decoded in the batch in which they are first seen."""

@@ -51,9 +51,12 @@ class Follower:
     def compact(self) -> None:
         self.tables.compact("block_counts", schemas.BLOCK_COUNTS, rollups.summed)
 
-    def run(self, landed: str, every: str | None = None):
-        """Start the query on a folder of landed Parquet files: once over what is there, or at an interval."""
-        rows = self.spark.readStream.schema(schemas.STORED).option("maxFilesPerTrigger", FILES_A_TICK).parquet(landed)
+    def run(self, landed: str, every: str | None = None, files_a_tick: int = FILES_A_TICK):
+        """Start the query on a folder of landed Parquet files: once over what is there, or at an interval.
+
+        A tick takes so many files at most; where the next one goes on is in the checkpoint.
+        """
+        rows = self.spark.readStream.schema(schemas.STORED).option("maxFilesPerTrigger", files_a_tick).parquet(landed)
         writer = rows.writeStream.foreachBatch(self.ingest).option("checkpointLocation", f"{self.root}/progress")
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
