@@ -1,59 +1,97 @@
-"""Candidate pairs from banded signatures without emitting all pairs of a large bucket (DataFrame functions only)."""
+"""Links between texts from banded signatures without emitting all pairs of a large bucket (DataFrame functions only)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import graph, store
+
+LEADERS = 3  #: members of a large bucket that are compared with all others before it is split
+DEEPEST = 3  #: places by which the key of a large bucket is lengthened at most
+FEW = 32  #: pairs a member up to which a large bucket's open pairs are all compared
 
 
 def _agreeing(pairs: DataFrame, sk: DataFrame, agree: int) -> DataFrame:
-    """(a, b, agree) of pairs whose signatures agree in so many places at least."""
+    """(a, b) of pairs whose signatures agree in so many places at least."""
     one, two = sk.select(F.col("rep").alias("a"), F.col("sketches").alias("x")), sk.select(F.col("rep").alias("b"), F.col("sketches").alias("y"))
     same = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda p: p))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", same.alias("agree")).filter(F.col("agree") >= agree)
+    return pairs.join(one, "a").join(two, "b").filter(same >= agree).select("a", "b")
 
 
-def _pairs_of_large(buckets: DataFrame, sk: DataFrame, agree: int, alike: int) -> DataFrame:
-    """Pairs (a, b) from buckets too large for all pairs: round by round, leader against all that no leader resembles yet."""
-    central = buckets.groupBy("rep").agg(F.sum("size").alias("central"))
-    active = store.materialize(buckets.join(central, "rep").select("bucket", "rep", "central"), "large-members")
-    found = []
-    while True:
-        lead = active.groupBy("bucket").agg(F.max(F.struct("central", "rep")).alias("lead")).select("bucket", F.col("lead.rep").alias("leader"))
-        lead = store.materialize(lead, "leaders")
-        met = active.join(lead, "bucket").filter("rep <> leader").select("bucket", "leader", "rep")
-        pairs = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        pairs = store.materialize(_agreeing(pairs, sk, agree), "leader-pairs")
-        found.append(pairs.select("a", "b"))
-        near = pairs.filter(F.col("agree") >= alike)
-        both = near.select(F.col("a").alias("leader"), F.col("b").alias("rep")).unionByName(near.select(F.col("b").alias("leader"), F.col("a").alias("rep")))
-        resembling = store.materialize(met.join(both, ["leader", "rep"], "left_semi").select("bucket", "rep"), "alike")
-        gone = resembling.unionByName(lead.select("bucket", F.col("leader").alias("rep")))
-        # a bucket whose leader resembles nobody is finished
-        active = active.join(resembling.select("bucket").distinct(), "bucket", "left_semi").join(gone, ["bucket", "rep"], "left_anti")
-        active = store.materialize(active, "active-members")
-        if active.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-
-
-def candidate_pairs(reps: DataFrame, length: int, rows: int, agree: int, alike: int, small_bucket: int = 16) -> DataFrame:
-    """Pairs (a < b) of reps (rep, sketches: array of that length) that share a band of rows places and agree in enough.
-
-    In a bucket of up to small_bucket all pairs are compared. In a larger one the
-    most central member (it shares most bands with others) is compared with all
-    others; those that no leader resembles (alike places) go on among themselves, led
-    by the most central of them, until a bucket's leader finds nobody alike.
+def _ordered(one: str, two: str) -> list:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _leader_pairs(active: DataFrame) -> DataFrame:
+    """Some members of each bucket with all others: the one in most buckets, and others by a hash that is the same in all buckets."""
+    central = active.groupBy("rep").agg(F.count("*").alias("central"))
+    orders = [F.struct("central", "rep"), *(F.struct(F.xxhash64("rep", F.lit(i)), "rep") for i in range(1, LEADERS))]
+    lead = active.join(central, "rep").groupBy("bucket").agg(*(F.max(o)["rep"].alias(f"l{i}") for i, o in enumerate(orders)))
+    lead = lead.select("bucket", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("leader"))
+    return active.join(lead, "bucket").filter("rep <> leader").select(*_ordered("rep", "leader")).distinct()
+
+
+def _open_pairs(active: DataFrame, links: DataFrame, reps: DataFrame, shape: tuple[int, int, int], depth: int, small_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare and buckets of longer keys, together all pairs of the buckets that no component of links joins."""
+    length, rows, agree = shape
+    inside = active.select("rep").distinct()
+    for end in ("a", "b"):
+        links = links.join(inside.select(F.col("rep").alias(end)), end, "left_semi")
+    of = graph.components(links)
+    known = active.join(of, active["rep"] == of["node"], "left").select("bucket", "rep", "band", "last", F.coalesce("component", "rep").alias("c"))
+    known = store.materialize(known, "large-members")
+    groups = known.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    per = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "c"))["c"].alias("main"))
+    per = per.withColumn("pairs", F.expr("(n * n - squares) / 2")).filter("pairs > 0")
+    few = F.col("pairs") <= FEW * F.col("n") if depth < min(DEEPEST, agree - rows) else F.lit(True)
+    per = store.materialize(per.select("bucket", "main", few.alias("few")), "large-buckets")
+
+    # members of the largest component meet the others only
+    members = known.join(per.filter("few"), "bucket")
+    others = members.filter("c <> main").select("bucket", F.col("rep").alias("other"), F.col("c").alias("d"))
+    pairs = members.select("bucket", "rep", "c").join(others, "bucket").filter("c <> d").select(*_ordered("rep", "other"))
+
+    # a pair that agrees in enough places has that many places left beyond its least ones
+    parts = known.join(per.filter("not few"), "bucket").join(reps, "rep").select("bucket", "rep", "band", "last", "c", F.posexplode("sketches").alias("at", "v"))
+    parts = parts.filter((F.col("at") > F.col("last")) & (F.expr(f"at div {rows}") != F.col("band")) & (F.col("at") <= length - agree + rows + depth))
+    parts = parts.select(F.xxhash64("bucket", "at", "v").alias("bucket"), "rep", "band", F.col("at").alias("last"), "c")
+    sizes = parts.groupBy("bucket").agg(F.count("*").alias("size"), (F.min("c") != F.max("c")).alias("open")).filter("open").drop("open")
+    parts = store.materialize(parts.join(sizes, "bucket"), "longer-keys")
+    small = parts.filter(F.col("size") <= small_bucket).select("bucket", "rep", "c")
+    two = small.select("bucket", F.col("rep").alias("other"), F.col("c").alias("d"))
+    pairs = pairs.unionByName(small.join(two, "bucket").filter("rep < other and c <> d").select(*_ordered("rep", "other"))).distinct()
+    return store.materialize(pairs, "open-pairs"), parts.filter(F.col("size") > small_bucket).drop("size", "c")
+
+
+def links(reps: DataFrame, length: int, rows: int, agree: int, verify: Callable[[DataFrame], DataFrame], small_bucket: int = 16) -> DataFrame:
+    """Verified links of reps (rep, sketches: array of that length) that share a band of rows places and agree in enough.
+
+    verify turns pairs (a < b) into the rows (a, b, ...) of those that are links. In a
+    bucket of up to small_bucket all pairs are compared. In a larger one a few leaders
+    are compared with all others. Of the pairs that are left only those within one
+    component of verified links are never compared, as they change no class. The others
+    are compared at once if they are few, else the bucket is split by one more place
+    of the signature, in every place that a pair with enough agreement can share, so each
+    such pair meets again. Buckets of the longest keys are compared in full.
     """
     band = lambda i: F.xxhash64(i, *(F.element_at("sketches", i * rows + r + 1) for r in range(rows)))
-    bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(length // rows - 1)), band)).alias("bucket"))
+    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length // rows - 1)), band)).alias("band", "bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = store.materialize(bands.join(sizes, "bucket"), "buckets")
     small = buckets.filter(F.col("size") <= small_bucket)
     pairs = small.select("bucket", F.col("rep").alias("a")).join(small.select("bucket", F.col("rep").alias("b")), "bucket").filter("a < b").select("a", "b").distinct()
-    pairs = store.materialize(_agreeing(pairs, reps, agree).select("a", "b"), "small-pairs")
-    pairs = pairs.unionByName(_pairs_of_large(buckets.filter(F.col("size") > small_bucket), reps, agree, alike)).distinct()
-    return store.materialize(pairs, "pairs")
+    active = buckets.filter(F.col("size") > small_bucket).select("bucket", "rep", "band", F.lit(-1).alias("last"))
+    found, depth = [], 0
+    while True:
+        more = not active.isEmpty()
+        met = pairs.unionByName(_leader_pairs(active)).distinct() if more else pairs
+        found.append(verify(store.materialize(_agreeing(met, reps, agree), "pairs")))
+        if not more:
+            return store.materialize(reduce(DataFrame.unionByName, found).dropDuplicates(["a", "b"]), "all-links")
+        joined = reduce(DataFrame.unionByName, (f.select("a", "b") for f in found))
+        pairs, active = _open_pairs(active, joined, reps, (length, rows, agree), depth, small_bucket)
+        depth += 1

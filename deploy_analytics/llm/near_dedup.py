@@ -12,12 +12,10 @@ A candidate pair is a link if a banded alignment of the two shingle sequences
 reaches 0.8: with L shingles aligned in order, L / (n + m - L) >= 0.8.
 
 Large buckets never emit all their pairs. In a bucket of up to ``small_bucket``
-texts all pairs are compared. In a larger one the most central text (the one that
-shares most bands with others) is compared with all others; those that no leader
-resembles go on among themselves, led by the most central of them, until a
-bucket's leader finds nobody alike. Two texts of a large bucket that are alike by what the bucket has in
-common both resemble its centre; those alike beyond that share rare shingles and
-so a small bucket too.
+texts all pairs are compared. In a larger one leaders are compared with all
+others, and then all pairs that no component of verified links joins, after a split
+by further sketches where these are many (see ``banding``). Only links within
+a component are left out, so classes are those of all candidate pairs.
 
 Exact copies are collapsed first and share their text's class.
 """
@@ -40,7 +38,6 @@ WORD = re.compile(r"\w+")
 SHINGLE, SKETCHES, PICK, ROWS = 5, 64, 3, 2  #: words a shingle; sketches; shingles a sketch; sketches a band
 LEAST = 0.8  #: similarity of a link
 AGREE = 16  #: of 64 sketches; at a similarity of 0.8 fewer agree with probability below 1e-4
-ALIKE = 28  #: of 64 sketches, about a similarity of 0.76: what a leader of a large bucket stands for
 CHUNK = 16384  #: shingles hashed at once, for texts of any length
 MEMO = 400_000  #: word hashes a worker keeps
 
@@ -193,15 +190,17 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", small_buck
     reps = signed.join(texts.select("rep"), signed.rid == texts.rep).select("rep", "t1", "t2", "sketches").filter("size(sketches) > 0")
     reps = store.materialize(reps, "representatives")
 
-    pairs = banding.candidate_pairs(reps.select("rep", "sketches"), SKETCHES, ROWS, AGREE, ALIKE, small_bucket)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "t1", "t2"), "rep")
-    found = docs.select(*ids, value.alias("text")).join(needed, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text"))
-    found = store.materialize(found, "candidate-texts")
-    side = lambda x: found.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    links = met.mapInArrow(_verify, "a long, b long, similarity double").filter("similarity > 0")
-    links = store.materialize(links, "links")
-
+    def verify(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "t1", "t2"), "rep")
+        found = docs.select(*ids, value.alias("text")).join(needed, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text"))
+        found = store.materialize(found, "candidate-texts")
+        side = lambda x: found.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+        met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+        linked = store.materialize(met.mapInArrow(_verify, "a long, b long, similarity double").filter("similarity > 0"), "links")
+        store.discard(found)
+        return linked
+
+    links = banding.links(reps.select("rep", "sketches"), SKETCHES, ROWS, AGREE, verify, small_bucket)
     of = graph.components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classed = texts.join(of, texts.rep == of.node, "left").join(ends, "rep", "left")
@@ -218,7 +217,8 @@ def _best(members: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: key, class_id (least key of its class), class_size, n_links, kept.
 
-    n_links counts the verified links of the row's text to different texts. Of each
+    n_links counts the verified links of the row's text to different texts (of a large
+    bucket's pairs within one class only some are verified). Of each
     class the row with the least key stays (of repeated keys one). Nulls come last.
     """
     members, _ = classes(docs, text, key)

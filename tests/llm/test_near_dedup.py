@@ -96,3 +96,21 @@ def test_long_text_sketches_do_not_depend_on_chunks(monkeypatch):
     whole = nd.sketch(k)
     monkeypatch.setattr(nd, "CHUNK", 64)
     assert (nd.sketch(k) == whole).all()
+
+
+def test_large_buckets_lose_no_class(spark):
+    import random
+
+    r = random.Random(11)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    passage, texts = words(115), []
+    for _ in range(60):
+        own = words(35)
+        texts += [[*passage, *own], [*passage, *own[:32], *words(3)]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    members, _ = nd.classes(spark.createDataFrame(rows, "doc_id long, text string"), small_bucket=4)
+    found = defaultdict(set)
+    for m in members.collect():
+        found[m["class"]].add(m.key)
+    want = brute(rows)
+    assert {frozenset(x) for x in found.values()} == want and len(want) == 60
