@@ -32,7 +32,7 @@ from . import store
 WORD = re.compile(r"\w+")
 STEMS = (3, 4, 5, 6)  #: lengths of word beginnings
 BUCKETS = 1024  #: hashed word beginnings of the classifier
-MEMO = 300_000  #: words a worker remembers
+MEMO = 300_000  #: words a worker remembers from one text to the next
 LABEL_ACCURACY = 0.95  #: of a given label as a voter
 PATTERNS = {
     "shouting": re.compile(r"\b[A-Z]{4,}\b(?:\W+[A-Z]{4,}\b){2}"),
@@ -63,9 +63,6 @@ class _Words(dict):
         self.voters, self.hashed, self.hits = voters, hashed, {}
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= MEMO:
-            self.clear()
-            self.hits.clear()
         fired = {v for k in STEMS if len(word) >= k and (v := self.voters.get(word[:k] + "*")) is not None}
         if (v := self.voters.get(word)) is not None:
             fired.add(v)
@@ -74,6 +71,12 @@ class _Words(dict):
         w = self[word] = float(self.hashed[bucket(word)])
         return w
 
+    def trim(self) -> None:
+        """Forget the words if they are many; only between texts, so that none loses its hits."""
+        if len(self) >= MEMO:
+            self.clear()
+            self.hits.clear()
+
     def fired(self, text: str, words: list[str]) -> set[int]:
         out: set[int] = set()
         for w in self.hits.keys() & set(words):
@@ -186,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> Model:
             out = []
             for text, label in zip(frame["text"], frame["label"], strict=True):
                 words = WORD.findall(text.lower())
+                memo.trim()
                 for w in words:
                     memo[w]
                 c = Counter(bucket(w) for w in words)
@@ -214,6 +218,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out = []
             for t in batch.to_pylist():
                 words = WORD.findall(t.lower())
+                memo.trim()
                 z = model.bias + (sum(map(memo.__getitem__, words)) / len(words) if words else 0.0)
                 z += sum(model.weights[i] for i in memo.fired(t, words))
                 out.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
