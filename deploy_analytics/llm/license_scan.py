@@ -5,9 +5,10 @@ weighed by how rare they are among all documents; terms outside every template
 count as if no document had them, so foreign words lower a likeness. A unit whose
 cosine to a template reaches 0.6 names that license.
 
-Only units with a telling term are looked at: a template term that at most a
-twentieth of all documents contain. Each template has such terms and without
-them no unit gets near 0.6.
+Only units with a telling term are looked at: of each template its heaviest terms,
+as many as it takes for the rest of it to be below a cosine of 0.6 to any unit
+(without terms that hold a share q of a template's squared norm no unit gets above the
+root of 1 - q). So no likeness is lost, however common a term is.
 
 A document that is at least half license text is a licence file and speaks for its
 directory. Documents without a license of their own take that of the nearest
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from . import store
 
-LEAST, FILE_SHARE, COMMON = 0.6, 0.5, 0.05
+LEAST, FILE_SHARE = 0.6, 0.5
 UNITS = r"\n|(?<=[.!?])\s+"
 TERMS = r"[^a-z0-9]+"
 
@@ -71,6 +72,17 @@ def _weights(total: int, counts: dict[str, int], vocabulary: list[str]) -> tuple
     return {t: rarity(counts.get(t, 0)) for t in vocabulary}, rarity(0)
 
 
+def _telling(weights: dict[str, float]) -> set[str]:
+    """The fewest heaviest terms of a template without which no unit's cosine to it reaches LEAST."""
+    total, missing, out = sum(w * w for w in weights.values()), 0.0, set()
+    for t in sorted(weights, key=lambda t: (-weights[t], t)):
+        if missing > (1 - LEAST**2 + 1e-6) * total:
+            break
+        missing += weights[t] ** 2
+        out.add(t)
+    return out
+
+
 def own_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(rid, key, path, license, similarity, n_units, share) of every row: its best license, null if there is none.
 
@@ -82,16 +94,17 @@ def own_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
     vocabulary = sorted({t for _, _, terms in sentences for t in terms})
     total, counts = term_counts(docs, text, vocabulary)
     rarity, unknown = _weights(total, counts, vocabulary)
-    telling = [t for t in vocabulary if counts.get(t, 0) <= COMMON * total]
 
-    entries = []
+    entries, telling = [], set()
     for i, name, terms in sentences:
         weights = {t: terms.count(t) * rarity[t] for t in terms}
+        telling |= _telling(weights)
         norm = sum(w * w for w in weights.values()) ** 0.5
         entries += [(t, i, name, w * rarity[t] / norm) for t, w in weights.items()]
     table = spark.createDataFrame(entries, "term string, template int, license string, part double")
     idf = spark.createDataFrame(list(rarity.items()), "term string, idf double")
 
+    telling = sorted(telling)
     value = store.whole_text(docs, text)
     found = F.filter(F.split(F.col("text"), UNITS), lambda u: F.arrays_overlap(_split(u), _array(telling)))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(path).alias("path"), value.alias("text"))

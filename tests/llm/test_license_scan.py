@@ -66,3 +66,12 @@ def test_inheritance_and_edge_cases(spark):
     by = {r[0]: r[1:] for r in result}
     assert by[2] == ("MIT", "inherited", "a") and by[3] == ("Apache-2.0", "own", None) and by[8] == ("Apache-2.0", "inherited", "a/d") and by[5] == (None, "none", None)
     assert ls.license_scan(docs.limit(0)).count() == 0
+
+
+def test_common_headers_and_small_tables(spark):
+    mit = "Released under the MIT License."
+    rows = [(i, f"a/{i}/x", f"{mit}\nsome text number {i} that is much longer than the header" if i % 2 else f"plain words {i}") for i in range(60)]
+    for part in (rows, rows[1:2], [(1, "a/LICENSE", mit), (2, "a/b/c", "words")]):
+        result = got(ls.license_scan(spark.createDataFrame(part, "doc_id long, path string, text string")))
+        assert result == sorted(brute(part), key=str)
+        assert {r[0] for r in result if r[1:3] == ("MIT", "own")} == {k for k, _, text in part if mit in text}
