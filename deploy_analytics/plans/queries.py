@@ -179,6 +179,18 @@ def snk02(spark, sf):
     return sinks.chunk_report(dep(spark, sf), sinks.planned_chunks(spark, 0, 24500, WIDTH), 0, done, WIDTH)
 
 
+@query(
+    "snk02_full_history",
+    f"""WITH {DEP}, ends AS (SELECT max(block_number) AS last FROM dep), plan AS (SELECT unnest(range(0, last // 1000 + 1)) AS chunk FROM ends), f AS (SELECT block_number // 1000 AS chunk, count(*) AS n, min(block_number) AS a, max(block_number) AS z FROM dep GROUP BY 1)
+    SELECT p.chunk, p.chunk * 1000 AS first_block, least(last, p.chunk * 1000 + 999) AS last_block, coalesce(n, 0) AS rows, a AS min_block, z AS max_block,
+    CASE WHEN p.chunk = 3 THEN 'skipped' WHEN n IS NULL THEN 'empty' ELSE 'written' END AS status FROM plan p CROSS JOIN ends LEFT JOIN f USING (chunk)""",
+)
+def snk02_full(spark, sf):
+    rows, done = dep(spark, sf), spark.range(3, 4).withColumnRenamed("id", "chunk")
+    last = rows.agg(F.max("block_number")).first()[0] or 0
+    return sinks.chunk_report(rows, sinks.planned_chunks(spark, 0, last, WIDTH), 0, done, WIDTH)
+
+
 @query("snk03_committed_batches_only", f"WITH {DEP} SELECT chain_id, count(*) AS n FROM dep GROUP BY chain_id")
 def snk03(spark, sf):
     tables = Tables(spark, scratch(spark, "publish"))
@@ -731,6 +743,47 @@ def ana09(spark, sf):
     return _codes(spark, sf).groupBy("code_hash").agg(F.sum("contract_count").alias("contract_count"))
 
 
+ALL_CODES = f"{DEP}, c AS (SELECT code_hash, count(*) AS n, max(n_code_bytes) AS size FROM dep WHERE chain_id = 1 GROUP BY code_hash)"
+
+
+@query(
+    "ana03_full_history",
+    f"""WITH {DEP}, {LABELS}, {VERIFIED}, t AS (SELECT block_number // 300 AS k, count(*) AS n FROM dep WHERE chain_id = 1 GROUP BY 1), v AS (SELECT block_number // 300 AS k, count(*) AS v FROM ok WHERE chain_id = 1 GROUP BY 1)
+    SELECT k * 300 AS block_start, k * 300 + 299 AS block_end, coalesce(v, 0) AS verified, n - coalesce(v, 0) AS unverified, 0::BIGINT AS unknown FROM t LEFT JOIN v USING (k)""",
+)
+def ana03_full(spark, sf):
+    rows = written(dep(spark, sf), "ana03")
+    return analytics.verified_ratio_over_time(rollups.block_counts(rows), rows, b.labels(spark, sf), 1, 300)
+
+
+@query(
+    "ana04_full_history",
+    f"WITH {ALL_CODES}, {META}, f AS (SELECT CASE {_BIN} END AS position, sum(n)::BIGINT AS n FROM c LEFT JOIN meta USING (code_hash) WHERE size <= 24576 GROUP BY 1) SELECT b.position, b.label, coalesce(n, 0) AS count FROM (VALUES {_BINS}) b(position, label) LEFT JOIN f USING (position)",
+)
+def ana04_full(spark, sf):
+    return analytics.bytecode_size_distribution(_codes(spark, sf, None), b.metadata(spark, sf))
+
+
+@query("ana05_full_history", f"WITH {ALL_CODES}, {META} SELECT compiler_version, sum(n)::BIGINT AS count FROM c JOIN meta USING (code_hash) WHERE compiler_version IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7")
+def ana05_full(spark, sf):
+    return analytics.top_compilers(_codes(spark, sf, None), b.metadata(spark, sf), 7)
+
+
+@query("ana06_full_history", f"WITH {ALL_CODES}, {META} SELECT coalesce(sum(n), 0)::BIGINT AS total FROM c JOIN meta USING (code_hash) WHERE compiler_version IS NOT NULL")
+def ana06_full(spark, sf):
+    return analytics.compiler_version_total(_codes(spark, sf, None), b.metadata(spark, sf))
+
+
+@query("ana08_full_history", f"WITH {ALL_CODES}, {META} SELECT {', '.join(f'coalesce(sum(CASE WHEN {x} THEN n ELSE 0 END), 0)::BIGINT AS {x}' for x in analytics.FLAGS)}, coalesce(sum(n), 0)::BIGINT AS total_decoded FROM c JOIN meta USING (code_hash)")
+def ana08_full(spark, sf):
+    return analytics.standards_breakdown(_codes(spark, sf, None), b.metadata(spark, sf))
+
+
+@query("ana09_full_history", f"WITH {ALL_CODES} SELECT code_hash, n AS contract_count FROM c")
+def ana09_full(spark, sf):
+    return _codes(spark, sf, None).groupBy("code_hash").agg(F.sum("contract_count").alias("contract_count"))
+
+
 def _page(spark, sf) -> DataFrame:
     rows = written(dep(spark, sf), "page")
     return analytics.recent(rows, rollups.block_counts(rows), 1, 20, (12001, 3))
