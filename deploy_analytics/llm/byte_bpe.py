@@ -3,9 +3,13 @@
 Encoding uses the tokenizers library over Arrow batches. Its alphabet is made of
 characters, so the 256 bytes are mapped to printable characters, the ranks of the
 vocabulary become merges in rank order, and each match of the splitting pattern is
-encoded by itself. A worker encodes a match once and keeps its ids. An exact check
-on new matches holds the ids against the merges done plainly by rank; where the
-library's order of merges differs, the plain ids count.
+encoded by itself. A worker encodes a match once and keeps its ids.
+
+The library orders merges by pair, the ranks by joined token. The two can differ only
+where two different pairs that join to the same token are open at once. Such a token
+has three bytes at least and stands in the match twice, so the library decides every
+match whose runs of three bytes are all different; the others are merged plainly by
+rank.
 
 Decoding reverses the byte table. Tokens may end inside a character: bytes are
 joined before they are read as UTF-8, and in per-token output a split character
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,16 +43,42 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 def by_rank(part: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids by joining, again and again, the leftmost neighbours whose joined token has the least rank."""
+    """Ids by joining, again and again, the leftmost neighbours whose joined token has the least rank.
+
+    A heap holds the open pairs, so a match of n bytes takes n log n steps.
+    """
     if part in ranks:
         return [ranks[part]]
-    pieces = [part[i : i + 1] for i in range(len(part))]
-    while len(pieces) > 1:
-        rank, i = min((ranks.get(pieces[i] + pieces[i + 1], len(ranks) + 1), i) for i in range(len(pieces) - 1))
-        if rank > len(ranks):
-            break
-        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
-    return [ranks[p] for p in pieces]
+    n = len(part)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts at each place; end 0: joined to an earlier one
+    open_pairs = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(part[i : i + 2])) is not None]
+    heapq.heapify(open_pairs)
+
+    def meet(i: int) -> None:
+        if i >= 0 and end[i] < n and (rank := ranks.get(part[i : end[end[i]]])) is not None:
+            heapq.heappush(open_pairs, (rank, i, end[end[i]]))
+
+    while open_pairs:
+        _, i, stop = heapq.heappop(open_pairs)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != stop:
+            continue  # one of the two has been joined since
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+        meet(before[i])
+        meet(i)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[part[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def ambiguous(part: bytes) -> bool:
+    """Whether a run of three bytes occurs twice, so that the order of equal ranks may matter."""
+    n = len(part) - 2
+    return n > 1 and len({part[i : i + 3] for i in range(n)}) < n
 
 
 class Codec:
@@ -55,7 +86,6 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         import regex
-        import tiktoken
 
         tokens.limit_threads()
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -66,7 +96,6 @@ class Codec:
         model = models.BPE({spell(t): r for t, r in self.ranks.items()}, [(spell(a), spell(b)) for a, b in _merges(self.ranks)], ignore_merges=True)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.split = regex.compile(pattern).findall
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -74,10 +103,14 @@ class Codec:
         self.memo = tokens.Memo(self._encode)
 
     def _encode(self, matches: list[str]) -> list[bytes]:
-        out = []
-        for match, found in zip(matches, self.tokenizer.encode_batch_fast(matches, add_special_tokens=False), strict=True):
-            exact = self.plain.encode_ordinary(match)
-            out.append(tokens.ids_bytes(found.ids if found.ids == exact else exact))
+        out, plain = [b""] * len(matches), []
+        for i, part in enumerate(m.encode() for m in matches):
+            if ambiguous(part) and part not in self.ranks:
+                out[i] = tokens.ids_bytes(by_rank(part, self.ranks))
+            else:
+                plain.append(i)
+        for i, found in zip(plain, self.tokenizer.encode_batch_fast([matches[i] for i in plain], add_special_tokens=False), strict=True):
+            out[i] = tokens.ids_bytes(found.ids)
         return out
 
     def encode(self, text: str) -> bytes:
