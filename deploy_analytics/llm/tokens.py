@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 TOGETHER = 200  #: texts whose new parts are encoded together
 MEMO = 400_000  #: parts of the current generation; the one before it is kept too
@@ -35,6 +36,7 @@ class Memo(dict):
     def __init__(self, encode, cut=None, cap: int = MEMO):
         super().__init__()
         self.encode, self.cut, self.cap, self.old = encode, cut or (lambda part: None), cap, {}
+        self.special: dict[str, bytes] = {}  # strings that are tokens by themselves, with their ids
 
     def __missing__(self, part):
         self.learn({part})
@@ -99,7 +101,8 @@ def word_memo(path: str) -> Memo:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = {t.content: ids_bytes([i]) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        tokenizer.encode_special_tokens = True  # in parts, which are lower-cased, their strings are ordinary text
         character, model = byte_characters(), tokenizer.model
 
         def encode(parts: list[bytes]) -> list[bytes]:
@@ -115,16 +118,24 @@ def word_memo(path: str) -> Memo:
             return out
 
         _kept["word", path] = Memo(encode, _without_signs)
+        _kept["word", path].special = special
     return _kept["word", path]
 
 
 def word_ids(texts: list[str], memo: Memo) -> list[bytes]:
-    """Ids of whole texts. The tokenizer lower-cases, so lower-casing A-Z first changes nothing."""
-    out = []
+    """Ids of whole texts, as of a plain call of the tokenizer.
+
+    It looks for the strings of special tokens in the text as it is and splits it
+    there; what is left it lower-cases, so lower-casing A-Z first changes nothing.
+    """
+    out, marks = [], re.compile("(" + "|".join(map(re.escape, memo.special)) + ")") if memo.special else None
     for at in range(0, len(texts), TOGETHER):
-        split = [t.encode().lower().split() for t in texts[at : at + TOGETHER]]
-        memo.learn(set().union(*split))
-        out += [b"".join(map(memo.__getitem__, parts)) for parts in split]
+        split: list[list] = []
+        for t in texts[at : at + TOGETHER]:
+            pieces = marks.split(t) if marks and any(m in t for m in memo.special) else [t]
+            split.append([memo.special[s] if i % 2 else s.encode().lower().split() for i, s in enumerate(pieces)])
+        memo.learn({p for pieces in split for words in pieces[::2] for p in words})
+        out += [b"".join(b"".join(map(memo.__getitem__, x)) if isinstance(x, list) else x for x in pieces) for pieces in split]
     return out
 
 
