@@ -1,4 +1,15 @@
-"""Links between texts from banded signatures without emitting all pairs of a large bucket (DataFrame functions only)."""
+"""Links between texts from banded signatures without emitting all pairs of a large bucket (DataFrame functions only).
+
+Pairs of small buckets are all compared. In a large one leaders are compared with
+all others first, then some members of its largest component with those still
+outside. What is left are pairs between components, and for these there is an exact
+way that doesn't depend on the buckets: of two sets whose Jaccard similarity reaches t, put
+in one common order of tokens (rare ones first), the longer one's first n - ceil(t n) + 1
+tokens and the shorter one's first n - ceil(2 t n / (1 + t)) + 1 have one in common, and the
+first one in common stands early enough in both that the rest can still make up the overlap.
+So texts that only share a passage, however many they are, don't meet: their own
+tokens are rarer and come first.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +21,8 @@ from pyspark.sql import functions as F
 
 from . import graph, store
 
-LEADERS = 3  #: members of a large bucket that are compared with all others before it is split
-DEEPEST = 3  #: places by which the key of a large bucket is lengthened at most
-FEW = 32  #: pairs a member up to which a large bucket's open pairs are all compared
+LEADERS = 3  #: members of a large bucket that are compared with all others
+TURNS = 1  #: times that members of a bucket's largest component are compared with the others
 
 
 def _agreeing(pairs: DataFrame, sk: DataFrame, agree: int) -> DataFrame:
@@ -35,63 +45,72 @@ def _leader_pairs(active: DataFrame) -> DataFrame:
     return active.join(lead, "bucket").filter("rep <> leader").select(*_ordered("rep", "leader")).distinct()
 
 
-def _open_pairs(active: DataFrame, links: DataFrame, reps: DataFrame, shape: tuple[int, int, int], depth: int, small_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare and buckets of longer keys, together all pairs of the buckets that no component of links joins."""
-    length, rows, agree = shape
-    inside = active.select("rep").distinct()
+def _open_members(active: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """(bucket, rep, c, main) of the buckets that links leave in several components: a member's, and the largest of its bucket."""
+    links, inside = reduce(DataFrame.unionByName, (f.select("a", "b") for f in found)), active.select("rep").distinct()
     for end in ("a", "b"):
         links = links.join(inside.select(F.col("rep").alias(end)), end, "left_semi")
     of = graph.components(links)
-    known = active.join(of, active["rep"] == of["node"], "left").select("bucket", "rep", "band", "last", F.coalesce("component", "rep").alias("c"))
-    known = store.materialize(known, "large-members")
-    groups = known.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    per = groups.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "c"))["c"].alias("main"))
-    per = per.withColumn("pairs", F.expr("(n * n - squares) / 2")).filter("pairs > 0")
-    few = F.col("pairs") <= FEW * F.col("n") if depth < min(DEEPEST, agree - rows) else F.lit(True)
-    per = store.materialize(per.select("bucket", "main", few.alias("few")), "large-buckets")
-
-    # members of the largest component meet the others only
-    members = known.join(per.filter("few"), "bucket")
-    others = members.filter("c <> main").select("bucket", F.col("rep").alias("other"), F.col("c").alias("d"))
-    pairs = members.select("bucket", "rep", "c").join(others, "bucket").filter("c <> d").select(*_ordered("rep", "other"))
-
-    # a pair that agrees in enough places has that many places left beyond its least ones
-    parts = known.join(per.filter("not few"), "bucket").join(reps, "rep").select("bucket", "rep", "band", "last", "c", F.posexplode("sketches").alias("at", "v"))
-    parts = parts.filter((F.col("at") > F.col("last")) & (F.expr(f"at div {rows}") != F.col("band")) & (F.col("at") <= length - agree + rows + depth))
-    parts = parts.select(F.xxhash64("bucket", "at", "v").alias("bucket"), "rep", "band", F.col("at").alias("last"), "c")
-    sizes = parts.groupBy("bucket").agg(F.count("*").alias("size"), (F.min("c") != F.max("c")).alias("open")).filter("open").drop("open")
-    parts = store.materialize(parts.join(sizes, "bucket"), "longer-keys")
-    small = parts.filter(F.col("size") <= small_bucket).select("bucket", "rep", "c")
-    two = small.select("bucket", F.col("rep").alias("other"), F.col("c").alias("d"))
-    pairs = pairs.unionByName(small.join(two, "bucket").filter("rep < other and c <> d").select(*_ordered("rep", "other"))).distinct()
-    return store.materialize(pairs, "open-pairs"), parts.filter(F.col("size") > small_bucket).drop("size", "c")
-
-
-def links(reps: DataFrame, length: int, rows: int, agree: int, verify: Callable[[DataFrame], DataFrame], small_bucket: int = 16) -> DataFrame:
+    known = active.join(of, active["rep"] == of["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    sizes = known.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "c"))["c"].alias("main")).filter("components > 1")
+    return store.materialize(known.join(per.select("bucket", "main"), "bucket"), "open-members")
+
+
+def _main_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Some members of each bucket's largest component with the bucket's members outside it."""
+    orders = [F.struct(F.xxhash64("rep", F.lit(LEADERS * (turn + 1) + i)), "rep") for i in range(LEADERS)]
+    lead = members.filter("c = main").groupBy("bucket").agg(*(F.max(o)["rep"].alias(f"l{i}") for i, o in enumerate(orders)))
+    lead = lead.select("bucket", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("leader"))
+    return members.filter("c <> main").join(lead, "bucket").select(*_ordered("rep", "leader")).distinct()
+
+
+def _early_pairs(tokens: DataFrame, least: float) -> DataFrame:
+    """Pairs of different components that can reach the similarity least by their first tokens (rep, c, n, token, at)."""
+    rows = store.materialize(tokens, "early-tokens")
+    part = 2 * least / (1 + least)
+    long = rows.select("token", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("at").alias("i"))
+    short = rows.filter(F.col("at") <= F.col("n") - F.ceil(part * F.col("n") - 1e-9) + 1)
+    short = short.select("token", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("j"))
+    needed = F.ceil(part / 2 * (F.col("na") + F.col("nb")) - 1e-9)
+    fits = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    fits = fits & (F.col("nb") >= least * F.col("na") - 1e-9) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) + 1 >= needed)
+    met = long.join(short, (long["token"] == short["token"]) & (F.col("ca") != F.col("cb")) & fits)
+    return met.select(*_ordered("a", "b")).distinct()
+
+
+def early(at: str, n: str, least: float):
+    """Whether a token at that place (from 1) of n counts among the first ones."""
+    return F.col(at) <= F.col(n) - F.ceil(least * F.col(n) - 1e-9) + 1
+
+
+def links(
+    reps: DataFrame, length: int, rows: int, agree: int, least: float, verify: Callable[[DataFrame], DataFrame], first_tokens: Callable[[DataFrame], DataFrame], small_bucket: int = 16
+) -> DataFrame:
     """Verified links of reps (rep, sketches: array of that length) that share a band of rows places and agree in enough.
 
-    verify turns pairs (a < b) into the rows (a, b, ...) of those that are links. In a
-    bucket of up to small_bucket all pairs are compared. In a larger one a few leaders
-    are compared with all others. Of the pairs that are left only those within one
-    component of verified links are never compared, as they change no class. The others
-    are compared at once if they are few, else the bucket is split by one more place
-    of the signature, in every place that a pair with enough agreement can share, so each
-    such pair meets again. Buckets of the longest keys are compared in full.
+    verify turns pairs (a < b) into the rows (a, b, ...) of those that are links.
+    first_tokens gives (rep, c, n, token, at) for a table of reps (rep, c): how many tokens each has,
+    and its first ones in an order that is the same for all. Links within one component
+    may be left out; components are those of all candidate pairs.
     """
     band = lambda i: F.xxhash64(i, *(F.element_at("sketches", i * rows + r + 1) for r in range(rows)))
-    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length // rows - 1)), band)).alias("band", "bucket"))
+    bands = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(length // rows - 1)), band)).alias("bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = store.materialize(bands.join(sizes, "bucket"), "buckets")
     small = buckets.filter(F.col("size") <= small_bucket)
     pairs = small.select("bucket", F.col("rep").alias("a")).join(small.select("bucket", F.col("rep").alias("b")), "bucket").filter("a < b").select("a", "b").distinct()
-    active = buckets.filter(F.col("size") > small_bucket).select("bucket", "rep", "band", F.lit(-1).alias("last"))
-    found, depth = [], 0
-    while True:
-        more = not active.isEmpty()
-        met = pairs.unionByName(_leader_pairs(active)).distinct() if more else pairs
-        found.append(verify(store.materialize(_agreeing(met, reps, agree), "pairs")))
-        if not more:
-            return store.materialize(reduce(DataFrame.unionByName, found).dropDuplicates(["a", "b"]), "all-links")
-        joined = reduce(DataFrame.unionByName, (f.select("a", "b") for f in found))
-        pairs, active = _open_pairs(active, joined, reps, (length, rows, agree), depth, small_bucket)
-        depth += 1
+    active = buckets.filter(F.col("size") > small_bucket).select("bucket", "rep")
+    large = not active.isEmpty()
+    met = pairs.unionByName(_leader_pairs(active)).distinct() if large else pairs
+    compared = lambda p: verify(store.materialize(_agreeing(p, reps, agree), "pairs"))
+    found = [compared(met)]
+    for turn in range(TURNS + 1 if large else 0):
+        members = _open_members(active, found)
+        if members.isEmpty():
+            break
+        if turn < TURNS:
+            found.append(compared(_main_pairs(members, turn)))
+        else:
+            found.append(compared(_early_pairs(first_tokens(members.select("rep", "c").distinct()), least)))
+    return store.materialize(reduce(DataFrame.unionByName, found).dropDuplicates(["a", "b"]), "all-links")

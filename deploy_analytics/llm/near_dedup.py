@@ -13,9 +13,9 @@ reaches 0.8: with L shingles aligned in order, L / (n + m - L) >= 0.8.
 
 Large buckets never emit all their pairs. In a bucket of up to ``small_bucket``
 texts all pairs are compared. In a larger one leaders are compared with all
-others, and then all pairs that no component of verified links joins, after a split
-by further sketches where these are many (see ``banding``). Only links within
-a component are left out, so classes are those of all candidate pairs.
+others, and then, by an exact filter on their rarest shingles, all pairs that can
+reach 0.8 and that no component of verified links joins (see ``banding``). Only links
+within a component are left out, so classes are those of all candidate pairs.
 
 Exact copies are collapsed first and share their text's class.
 """
@@ -40,6 +40,9 @@ LEAST = 0.8  #: similarity of a link
 AGREE = 16  #: of 64 sketches; at a similarity of 0.8 fewer agree with probability below 1e-4
 CHUNK = 16384  #: shingles hashed at once, for texts of any length
 MEMO = 400_000  #: word hashes a worker keeps
+SLOT_BITS, PART = 18, 4096  #: bits of a hashed counter of shingles; counters a row
+SLOTS = 1 << SLOT_BITS
+RECENT = 32  #: texts whose shingles a verifying worker keeps
 
 _odd = np.random.default_rng(20240229).integers(1, 2**63, SKETCHES + SHINGLE + PICK + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH, _PLACE, _ORDER, _LABEL = _odd[:SKETCHES, None], _odd[SKETCHES : SKETCHES + SHINGLE], _odd[-PICK - 1 : -1], _odd[-1]
@@ -156,16 +159,66 @@ def similarity(a: list[int], b: list[int], least: float = LEAST) -> float:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _Hashes()
+    memo, recent = _Hashes(), {}
+
+    def shingled(text: str) -> list[int]:
+        got = recent.pop(text, None)
+        if got is None:
+            got = shingles(text, memo).tolist()
+            if len(recent) >= RECENT:
+                del recent[next(iter(recent))]
+        recent[text] = got  # the last one asked for is the last to go
+        return got
+
     for batch in batches:
-        left, one, found = None, [], []
-        for s, t in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            if s != left:
-                left, one = s, shingles(s, memo).tolist()
-            found.append(similarity(one, shingles(t, memo).tolist()))
+        found = [similarity(shingled(s), shingled(t)) for s, t in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
+def _slots(k: np.ndarray) -> np.ndarray:
+    return (k * _LABEL) >> np.uint64(64 - SLOT_BITS)
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashed counts of the texts' labelled shingles, in parts."""
+    memo, counts = _Hashes(), np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            np.add.at(counts, _slots(_labelled(shingles(text, memo))), 1)
+    parts = [(i, p.tobytes()) for i, p in enumerate(counts.reshape(-1, PART)) if p.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["part", "n"])
+
+
+def _summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(n, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "n"])
+
+
+def _first_tokens(counts: np.ndarray):
+    """For (rep, c, text) the labelled shingles that come first: rare ones by the hashed counts, then by their value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        for batch in batches:
+            of, sizes, tokens, at = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                k = _labelled(shingles(text, memo))
+                first = len(k) - int(np.ceil(LEAST * len(k) - 1e-9)) + 1
+                tokens.append(k[np.lexsort((k, counts[_slots(k)]))[:first]].view(np.int64))
+                of.append(np.full(len(tokens[-1]), i))
+                sizes.append(np.full(len(tokens[-1]), len(k)))
+                at.append(np.arange(1, len(tokens[-1]) + 1))
+            if of:
+                flat = [pa.array(np.concatenate(x)) for x in (of, sizes, tokens, at)]
+                own = [batch.column(c).take(flat[0]) for c in ("rep", "c")]
+                yield pa.RecordBatch.from_arrays([*own, *flat[1:]], ["rep", "c", "n", "token", "at"])
+
+    return run
+
+
 def _text_ids(value):
     return [F.xxhash64(value).alias("t1"), F.xxhash64(F.lit(1), value).alias("t2")]
 
@@ -190,17 +243,32 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", small_buck
     reps = signed.join(texts.select("rep"), signed.rid == texts.rep).select("rep", "t1", "t2", "sketches").filter("size(sketches) > 0")
     reps = store.materialize(reps, "representatives")
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        needed = wanted.join(reps.select("rep", "t1", "t2"), "rep")
+        found = docs.select(*ids, value.alias("text")).join(needed, ["t1", "t2"]).groupBy(*wanted.columns).agg(F.first("text").alias("text"))
+        return store.materialize(found, name)
+
+    # shingles cost far more than a text's bytes tell: small tables are dealt over many tasks too
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "t1", "t2"), "rep")
-        found = docs.select(*ids, value.alias("text")).join(needed, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text"))
-        found = store.materialize(found, "candidate-texts")
+        found = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "candidate-texts")
         side = lambda x: found.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+        met = met.repartition(tasks, "a", F.pmod("b", F.lit(16)))
         linked = store.materialize(met.mapInArrow(_verify, "a long, b long, similarity double").filter("similarity > 0"), "links")
         store.discard(found)
         return linked
 
-    links = banding.links(reps.select("rep", "sketches"), SKETCHES, ROWS, AGREE, verify, small_bucket)
+    def first_tokens(wanted: DataFrame) -> DataFrame:
+        found = texts_of(wanted, "open-texts").repartition(tasks, "rep")
+        parts = found.mapInArrow(_token_counts, "part int, n binary").repartition("part").mapInArrow(_summed_counts, "part int, n binary")
+        counts = np.zeros((SLOTS // PART, PART), np.int64)
+        for r in parts.collect():  # SLOTS numbers, whatever the corpus
+            counts[r.part] = np.frombuffer(r.n, np.int64)
+        return found.mapInArrow(_first_tokens(counts.ravel()), "rep long, c long, n long, token long, at long")
+
+    links = banding.links(reps.select("rep", "sketches"), SKETCHES, ROWS, AGREE, LEAST, verify, first_tokens, small_bucket)
     of = graph.components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classed = texts.join(of, texts.rep == of.node, "left").join(ends, "rep", "left")
@@ -234,14 +302,14 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that near_dedup keeps, with all their columns."""
+    """The rows of docs that near_dedup keeps, with all their columns, whatever their names."""
     members, _ = classes(docs, text, key)
     best = _best(members).select(F.col("best.rid").alias("rid"))
-    kept = members.join(best, "rid").select(F.col("key").alias("_key"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    kept = members.join(best, "rid").select("key", "t1", "t2")
     t1, t2 = _text_ids(store.whole_text(docs, text))
-    rows = docs.withColumns({"_u1": t1, "_u2": t2})
-    met = rows.join(kept, rows[key].eqNullSafe(kept["_key"]) & (rows["_u1"] == kept["_t1"]) & (rows["_u2"] == kept["_t2"]), "left_semi")
-    return met.dropDuplicates([key, "_u1", "_u2"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), t1.alias("u1"), t2.alias("u2"))
+    met = rows.join(kept, rows["k"].eqNullSafe(kept["key"]) & (rows["u1"] == kept["t1"]) & (rows["u2"] == kept["t2"]), "left_semi")
+    return met.dropDuplicates(["k", "u1", "u2"]).select("row.*")
 
 
 def op9_near_dedup(spark, sf_dir):
