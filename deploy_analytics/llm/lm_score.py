@@ -1,18 +1,22 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax (operator 2).
 
-P(word | history) = P(class | history) * P(word | class).
+P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf).
 
 Classes are ranges of equal mass among words ordered by their last two bytes, and
-one for a document's end. The class softmax has hashed features of the history: the
-word before (n-gram), the class of the word before that (skip), and both together,
-each hashed into a fixed number of rows of weights. Events are counted per (hashed
-word before, class before that, class), a table whose size the hashing bounds, so a
-gradient step over the whole corpus is one Spark job over that table: partitions
-send the expected counts of their contexts, the driver holds only the weights. The
-softmax of words in a class has one feature a word, whose maximum-entropy solution
-is its add-one frequency; each class keeps one share for a word never seen. So the
-probabilities of all V known words, the end and the unknown word of each class sum
-to 1.
+one for a document's end. Of each class the most frequent words have a leaf of their
+own, the others share a few leaves by a hash. Both softmaxes have hashed features of
+the history: the word before (n-gram) and the class of the word before that (skip),
+and the class softmax both together too, each hashed into a fixed number of rows
+of weights. So every frequent word has n-gram and skip weights of its own; words that
+share a leaf have those of the leaf, and among themselves their add-one frequency,
+with one share for a word never seen. The probabilities of all V known words, the end
+and the unknown word of each shared leaf sum to 1.
+
+Events are counted per (hashed word before, class before that, class), per (hashed
+word before, leaf) and per (class before that, leaf): packed rows whose number the
+hashing bounds, added up in two rounds. A gradient step over the whole corpus is one
+Spark job over them: partitions send the expected counts of their rows, the driver
+holds only the weights.
 
 Word counts are exact and over all training documents. Words of at least one in
 ``head_words`` tokens (there can't be more of them than that) are looked up in the
@@ -35,6 +39,9 @@ from . import store
 
 END = "\n"  #: the token that ends a document; no word contains it
 CLASSES, WORD_ROWS, PAIR_ROWS = 64, 1024, 4096  #: classes with that of the end; rows of hashed words and hashed pairs
+LEAVES, OWN = 64, 48  #: leaves of a class; those of them that are for one word
+CELLS = CLASSES * LEAVES
+ADDED = 400_000  #: counted words that a task adds up before it sends them on
 SLICE = 4_000_000  #: bytes of text looked at together
 
 
@@ -81,8 +88,8 @@ def endings(words: pa.Array) -> np.ndarray:
     return raw[offsets[1:] - 1].astype(np.int64) * 256 + before
 
 
-def hashed(words: pa.Array) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % WORD_ROWS for w in words.to_pylist()), np.int64, len(words))
+def hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words))
 
 
 def pair_row(word_row: np.ndarray, skip: np.ndarray) -> np.ndarray:
@@ -90,153 +97,269 @@ def pair_row(word_row: np.ndarray, skip: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Classes:
-    """The class of each ending, and log10 of each class's share of one count."""
+class Leaves:
+    """The class of each ending, the words with leaves of their own, and log10 of a leaf's share of one count."""
 
     of: np.ndarray
+    own: pa.Array
+    own_leaf: np.ndarray
     share: np.ndarray
+    empty: np.ndarray  #: leaves without a known word, which have no probability
 
-    def __call__(self, words: pa.Array) -> np.ndarray:
-        return self.of[endings(words)]
+    def __call__(self, words: pa.Array, hashed: np.ndarray) -> np.ndarray:
+        leaf = self.of[endings(words)] * LEAVES + OWN + (hashed >> 16) % (LEAVES - OWN)
+        at = pc.index_in(words, value_set=self.own)
+        found = at.is_valid().to_numpy(zero_copy_only=False)
+        leaf[found] = self.own_leaf[at.drop_null().to_numpy()]
+        return leaf
 
 
-def make_classes(counts: DataFrame) -> Classes:
-    """Equal-mass ranges of endings from (word, c); there are at most 65,536 endings."""
+def make_classes(counts: DataFrame) -> np.ndarray:
+    """The class of each ending: ranges of equal mass from (word, c); there are at most 65,536 endings."""
     b = F.col("word").cast("binary")
     byte = lambda k: F.conv(F.hex(F.substring(b, k, 1)), 16, 10).cast("int")
     ending = byte(-1) * 256 + F.when(F.octet_length("word") > 1, byte(-2)).otherwise(0)
-    end = F.col("word") == END
-    rows = counts.groupBy(F.when(end, -1).otherwise(ending).alias("ending")).agg(F.sum("c").alias("mass"), F.count("*").alias("words")).collect()
-    mass, words = np.zeros(65536), np.zeros(65536)
-    last = 0.0
+    rows = counts.filter(F.col("word") != END).groupBy(ending.alias("ending")).agg(F.sum("c").alias("mass")).collect()
+    mass = np.zeros(65536)
     for r in rows:
-        if r.ending < 0:
-            last = float(r.mass)
-        else:
-            mass[r.ending], words[r.ending] = r.mass, r["words"]
+        mass[r.ending] = r.mass
     middle = np.cumsum(mass) - mass / 2
     of = np.minimum(middle * (CLASSES - 1) / max(mass.sum(), 1), CLASSES - 2).astype(np.int64)
     of[10 * 256] = CLASSES - 1  # END; no word ends in a line feed
-    total = np.bincount(of, mass + words, CLASSES) + 1
-    total[-1] = last + 1
-    return Classes(of, -np.log10(total))
-
-
-def contexts(t: Tokens, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: hashed word before, class of the one before that, own class. Before a document lie ends."""
-    own, rows = classes(t.words), hashed(t.words)
-    cls, row = own[t.codes], rows[t.codes]
-    first = np.cumsum(t.counts) - t.counts
-    before = np.concatenate([[rows[-1]], row[:-1]])
-    skip = np.concatenate([[CLASSES - 1, CLASSES - 1], cls])[: len(cls)]
-    before[first] = rows[-1]
+    return of
+
+
+def make_leaves(counts: DataFrame, head: pa.Array, head_counts: np.ndarray) -> Leaves:
+    """Leaves from (word, c): of the head words the most frequent of each class by themselves, all others by hash."""
+    of = make_classes(counts)
+    words, c = head.filter(pc.not_equal(head, END)), head_counts[pc.not_equal(head, END).to_numpy(zero_copy_only=False)]
+    cls = of[endings(words)]
+    order = np.lexsort((np.arange(len(words)), -c, cls))
+    rank = np.arange(len(words)) - np.searchsorted(cls[order], cls[order])
+    chosen = order[rank < OWN]
+    own = pa.concat_arrays([words.take(pa.array(chosen)), pa.array([END], pa.large_string())])
+    leaves = Leaves(of, own, np.append(cls[chosen] * LEAVES + rank[rank < OWN], (CLASSES - 1) * LEAVES), np.zeros(CELLS), np.zeros(CELLS, bool))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass, kinds = np.zeros(CELLS), np.zeros(CELLS)
+        for batch in batches:
+            words = batch.column(0).cast(pa.large_string())
+            leaf = leaves(words, hashes(words))
+            mass += np.bincount(leaf, batch.column(1).to_numpy(), CELLS)
+            kinds += np.bincount(leaf, minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(mass), pa.array(kinds)], ["leaf", "mass", "kinds"])
+
+    total, known = np.zeros(CELLS), np.zeros(CELLS)
+    for r in counts.mapInArrow(run, "leaf long, mass double, kinds double").groupBy("leaf").agg(F.sum("mass").alias("mass"), F.sum("kinds").alias("kinds")).collect():
+        total[r.leaf], known[r.leaf] = r.mass + r.kinds, r.kinds
+    shared = np.arange(CELLS) % LEAVES >= OWN
+    shared[-LEAVES:] = False  # the end is alone in its class
+    leaves.empty = (known == 0) & ~shared
+    leaves.empty[(CLASSES - 1) * LEAVES] = False
+    leaves.share = -np.log10(np.maximum(total + shared, 1))
+    return leaves
+
+
+def contexts(t: Tokens, leaves: Leaves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: hashed word before, class of the one before that, own leaf. Before a document lie ends."""
+    hashed = hashes(t.words)
+    own = leaves(t.words, hashed)
+    leaf, row = own[t.codes], (hashed % WORD_ROWS)[t.codes]
+    first, end = np.cumsum(t.counts) - t.counts, hashed[-1] % WORD_ROWS
+    before = np.concatenate([[end], row[:-1]])
+    skip = np.concatenate([[CLASSES - 1, CLASSES - 1], leaf // LEAVES])[: len(leaf)]
+    before[first] = end
     skip[first] = CLASSES - 1
     second = first[t.counts > 1] + 1
     skip[second] = CLASSES - 1
-    return before, skip, cls
+    return before, skip, leaf
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over all tokens of a column text."""
+    names = ["word", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
         for batch in batches:
-            if batch.num_rows:
-                t = tokenize(batch.column(0))
+            for part in slices(batch, 0):
+                t = tokenize(part.column(0))
                 n = np.bincount(t.codes, minlength=len(t.words))
-                yield pa.RecordBatch.from_arrays([t.words.cast(pa.string()), pa.array(n)], ["word", "c"])
+                kept.append(pa.RecordBatch.from_arrays([t.words, pa.array(n)], names))
+                size += len(t.words)
+                if size > ADDED:
+                    kept = _added(kept)
+                    size = sum(b.num_rows for b in kept)
+                    if size > ADDED // 2:
+                        yield from (pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1)], names) for b in kept)
+                        kept, size = [], 0
+        yield from (pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1)], names) for b in _added(kept))
+
+    def _added(kept: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        if not kept:
+            return []
+        table = pa.Table.from_batches(kept).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return table.select(["word", "c_sum"]).combine_chunks().to_batches()
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_events(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(context, class, n): how often each class follows each context, at most WORD_ROWS * CLASSES ** 2 rows."""
+def count_events(docs: DataFrame, leaves: Leaves) -> DataFrame:
+    """(row, n): for a hashed word before, counts by (class before that, class) and then by leaf; after WORD_ROWS rows, one by leaf for each class before that.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORD_ROWS * CLASSES * CLASSES, np.int64)
+    n holds float32 values. There are WORD_ROWS + CLASSES rows at most, whatever the corpus.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task's text has fewer than 2 ** 31 tokens
+        tables = np.zeros(WORD_ROWS * CLASSES * CLASSES, np.int32), np.zeros(WORD_ROWS * CELLS, np.int32), np.zeros(CLASSES * CELLS, np.int32)
         for batch in batches:
             for part in slices(batch, 0):
-                before, skip, cls = contexts(tokenize(part.column(0)), classes)
-                at, n = np.unique((before * CLASSES + skip) * CLASSES + cls, return_counts=True)
-                total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(total[at])], ["context", "class", "n"])
+                before, skip, leaf = contexts(tokenize(part.column(0)), leaves)
+                for table, at in zip(tables, ((before * CLASSES + skip) * CLASSES + leaf // LEAVES, before * CELLS + leaf, skip * CELLS + leaf), strict=True):
+                    np.add.at(table, at, np.int32(1))
+        one, two, three = (t.reshape(n, -1) for t, n in zip(tables, (WORD_ROWS, WORD_ROWS, CLASSES), strict=True))
+        rows = [np.concatenate([x, y]) for x, y in zip(one, two, strict=True)] + list(three)
+        at = [np.flatnonzero(x) for x in rows]
+        found = [i for i, x in enumerate(at) if len(x)]
+        cells, values = [at[i].astype(np.uint16).tobytes() for i in found], [rows[i][at[i]].astype(np.int64).tobytes() for i in found]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(cells, pa.binary()), pa.array(values, pa.binary())], ["row", "cells", "n"])
+
+    def add(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for row, salt, cells, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    table = sums.get((row, salt))
+                    if table is None:
+                        table = sums[row, salt] = np.zeros(2 * CELLS, np.int64)
+                    table[np.frombuffer(cells, np.uint16)] += np.frombuffer(n, np.int64)
+            for (row, _), table in sums.items():
+                at = np.flatnonzero(table)
+                if last:
+                    out = [pa.array([row], pa.int32()), pa.array([table.astype(np.float32).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(out, ["row", "n"])
+                else:
+                    out = [pa.array([row], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([table[at].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(out, ["row", "cells", "n"])
+
+        return run
 
-    return docs.select("text").mapInArrow(run, "context int, class int, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
+    # rows of many tasks are first added up in as many groups as there are tasks for them
+    groups = max(1, int(float(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    counted = docs.select("text").mapInArrow(count, "row int, cells binary, n binary")
+    salted = counted.select("row", (F.spark_partition_id() % groups).alias("salt"), "cells", "n").repartition("row", "salt")
+    once = salted.mapInArrow(add(False), "row int, cells binary, n binary")
+    return once.select("row", F.lit(0).alias("salt"), "cells", "n").repartition("row").mapInArrow(add(True), "row int, n binary")
 
 
 @dataclass
 class Weights:
+    """Of the class softmax bias, word, skip and pair; of the softmax of leaves in a class the rest."""
+
     bias: np.ndarray
     word: np.ndarray
     skip: np.ndarray
     pair: np.ndarray
+    leaf_bias: np.ndarray
+    leaf_word: np.ndarray
+    leaf_skip: np.ndarray
 
     @staticmethod
     def zeros() -> Weights:
-        return Weights(*(np.zeros((n, CLASSES)) for n in (1, WORD_ROWS, CLASSES, PAIR_ROWS)))
+        classes = (np.zeros((n, CLASSES)) for n in (1, WORD_ROWS, CLASSES, PAIR_ROWS))
+        return Weights(*classes, *(np.zeros((n, CELLS), np.float32) for n in (1, WORD_ROWS, CLASSES)))
 
-    def log_softmax(self, context: np.ndarray) -> np.ndarray:
-        w, s = context // CLASSES, context % CLASSES
-        z = self.bias + self.word[w] + self.skip[s] + self.pair[pair_row(w, s)]
+    def class_log_softmax(self, w: int, skip: np.ndarray) -> np.ndarray:
+        """Logs of the classes' probabilities (skips x classes) after a hashed word."""
+        z = self.bias + self.word[w] + self.skip[skip] + self.pair[pair_row(np.full(len(skip), w), skip)]
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def spread(self, context: np.ndarray, values: np.ndarray) -> Weights:
-        """Sums of values (contexts x classes) over the rows of weights that each context has."""
-        w, s = context // CLASSES, context % CLASSES
-        out = Weights.zeros()
-        out.bias[0] = values.sum(axis=0)
-        for table, row in ((out.word, w), (out.skip, s), (out.pair, pair_row(w, s))):
-            np.add.at(table, row, values)
-        return out
+    def leaf_scores(self, w: int, skip: np.ndarray) -> np.ndarray:
+        """Weights of leaves (skips x classes x leaves of the class) after a hashed word; empty leaves have a very low bias."""
+        return (self.leaf_bias + self.leaf_word[w] + self.leaf_skip[skip]).reshape(len(skip), CLASSES, LEAVES)
 
-    def pack(self) -> bytes:
-        return np.concatenate([self.bias, self.word, self.skip, self.pair]).astype(np.float64).tobytes()
-
-    @staticmethod
-    def unpack(data: bytes) -> Weights:
-        rows = np.frombuffer(data, np.float64).reshape(-1, CLASSES)
-        return Weights(*np.split(rows, np.cumsum([1, WORD_ROWS, CLASSES])))
 
+def _sums(weights: Weights | None):
+    """For rows of events their observed counts, or those that the weights expect: (kind, row, data)."""
 
-def train(events: DataFrame, steps: int = 12, rate: float = 0.3, partitions: int = 6) -> Weights:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = Weights.zeros(), []
+        for batch in batches:
+            for w, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = np.frombuffer(data, np.float32)
+                if w >= WORD_ROWS:
+                    if weights is None:
+                        out.leaf_skip[w - WORD_ROWS] += n[:CELLS]
+                    continue
+                counts = n[:CELLS].reshape(CLASSES, CLASSES)
+                skip = np.flatnonzero(counts.any(axis=1))
+                seen = counts[skip].astype(np.float64)
+                if weights is None:
+                    rows.append((w, n[CELLS:].tobytes()))
+                else:
+                    # scores stay far below what float32 holds, so none is shifted first
+                    e = np.exp(weights.leaf_scores(w, skip))
+                    e *= (counts[skip] / e.sum(axis=2))[:, :, None]
+                    e = e.reshape(len(skip), CELLS)
+                    rows.append((w, e.sum(axis=0).tobytes()))
+                    out.leaf_skip[skip] += e
+                    seen = np.exp(weights.class_log_softmax(w, skip)) * seen.sum(axis=1, keepdims=True)
+                out.bias[0] += seen.sum(axis=0)
+                out.word[w] += seen.sum(axis=0)
+                out.skip[skip] += seen
+                np.add.at(out.pair, pair_row(np.full(len(skip), w), skip), seen)
+        tables = [("classes", 0, np.concatenate([out.bias, out.word, out.skip, out.pair]).tobytes()), ("skips", 0, out.leaf_skip.tobytes())]
+        kinds, at, data = zip(*(tables + [("word", w, x) for w, x in rows]), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["kind", "row", "data"])
+
+    return run
+
+
+def train(events: DataFrame, leaves: Leaves, steps: int = 12, rate: float = 0.3, partitions: int = 6) -> Weights:
     """Weights by gradient steps over all events; each step is one job.
 
     A step moves a weight by the difference of observed and expected counts over
-    their mean, smoothed, so rare and frequent features learn alike. Each of a few
-    partitions sends one table of the size of the weights.
+    their mean, smoothed, so rare and frequent features learn alike. Partitions send
+    the rows of their own hashed words and one table of each other kind.
     """
-    dealt = store.materialize(events.repartition(partitions, "context"), "events").coalesce(partitions)
-
-    def gradient(weights: Weights | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-            if got:
-                context, cls, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                context, at = np.unique(context, return_inverse=True)
-                seen = np.bincount(at * CLASSES + cls, n, len(context) * CLASSES).reshape(-1, CLASSES)
-                context = context.astype(np.int64)
-                if weights is None:
-                    table = Weights.zeros().spread(context, seen)
-                else:
-                    table = weights.spread(context, np.exp(weights.log_softmax(context)) * seen.sum(axis=1, keepdims=True))
-                yield pa.RecordBatch.from_arrays([pa.array([table.pack()], pa.binary())], ["table"])
-
-        total = Weights.zeros().pack()
-        for r in dealt.mapInArrow(run, "table binary").collect():
-            total = (np.frombuffer(total) + np.frombuffer(r.table)).tobytes()
-        return np.frombuffer(total).reshape(-1, CLASSES)
-
-    observed = gradient(None)
-    start = Weights.zeros()
-    start.bias[0] = np.log((observed[0] + 1) / (observed[0].sum() + CLASSES))
-    weights = start.pack()
+    dealt = store.materialize(events.coalesce(partitions), "events")
+
+    def gathered(weights: Weights | None) -> Weights:
+        total = Weights.zeros()
+        classes = np.zeros((1 + WORD_ROWS + CLASSES + PAIR_ROWS, CLASSES))
+        for r in dealt.mapInArrow(_sums(weights), "kind string, row int, data binary").toLocalIterator():
+            if r.kind == "word":
+                total.leaf_word[r.row] += np.frombuffer(r.data, np.float32)
+            elif r.kind == "skips":
+                total.leaf_skip += np.frombuffer(r.data, np.float32).reshape(CLASSES, CELLS)
+            else:
+                classes += np.frombuffer(r.data).reshape(classes.shape)
+        total.bias, total.word, total.skip, total.pair = np.split(classes, np.cumsum([1, WORD_ROWS, CLASSES]))
+        return total
+
+    observed, weights = gathered(None), Weights.zeros()
+    weights.bias[0] = np.log((observed.bias[0] + 1) / (observed.bias[0].sum() + CLASSES))
+    by_leaf = observed.leaf_skip.sum(axis=0, dtype=np.float64).reshape(CLASSES, LEAVES)
+    weights.leaf_bias[0] = np.log((by_leaf + 1) / (by_leaf.sum(axis=1, keepdims=True) + LEAVES)).ravel()
+    weights.leaf_bias[0, leaves.empty] = -60.0
     for _ in range(steps):
-        expected = gradient(Weights.unpack(weights))
-        move = 2 * rate * (observed - expected) / (observed + expected + 10)
-        weights = (np.frombuffer(weights).reshape(-1, CLASSES) + move).tobytes()
-    return Weights.unpack(weights)
+        expected = gathered(weights)
+        for name in ("bias", "word", "skip", "pair", "leaf_word", "leaf_skip"):
+            o, e = getattr(observed, name), getattr(expected, name)
+            getattr(weights, name).__iadd__(2 * rate * (o - e) / (o + e + 10))
+    return weights
+
+
+def score_tables(weights: Weights, leaves: Leaves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of the class's probability over the class's sum of leaves, by (word before, skip, class); then what a leaf adds by word before, and by skip."""
+    every, first = np.arange(CLASSES), np.empty((WORD_ROWS, CLASSES, CLASSES), np.float32)
+    for w in range(WORD_ROWS):
+        first[w] = weights.class_log_softmax(w, every) - np.log(np.exp(weights.leaf_scores(w, every)).sum(axis=2))
+    ten = np.float32(np.log(10))
+    word = (weights.leaf_word + weights.leaf_bias) / ten + leaves.share.astype(np.float32)
+    return (first / ten).ravel(), word.ravel(), (weights.leaf_skip / ten).ravel()
 
 
 def score_texts(docs: DataFrame, train_on, text: str = "text", key: str = "doc_id", head_words: int = 1_000_000) -> DataFrame:
@@ -252,26 +375,29 @@ def score_texts(docs: DataFrame, train_on, text: str = "text", key: str = "doc_i
     train_docs = docs.filter(train_on).select(store.whole_text(docs, text).alias("text"))
     counts = store.materialize(count_words(train_docs), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    classes = make_classes(counts)
-    weights = train(count_events(train_docs, classes))
-    table = (weights.log_softmax(np.arange(WORD_ROWS * CLASSES)) / np.log(10) + classes.share).astype(np.float32).ravel()
     least = max(2, -(-total // head_words))
-    head = counts.filter(F.col("c") >= least).toArrow()
-    head_list, head_log = head.column("word").combine_chunks().cast(pa.large_string()), np.log10(head.column("c").to_numpy() + 1.0)
+    head = counts.filter(F.col("c") >= least).orderBy("word").toArrow()
+    head_list, head_counts = head.column("word").combine_chunks().cast(pa.large_string()), head.column("c").to_numpy()
+    head_log = np.log10(head_counts + 1.0)
+    leaves = make_leaves(counts, head_list, head_counts)
+    first, by_word, by_skip = score_tables(train(count_events(train_docs, leaves), leaves), leaves)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 t = tokenize(part.column(2))
-                before, skip, cls = contexts(t, classes)
-                first = np.cumsum(t.counts) - t.counts
-                model = np.add.reduceat(table[(before * CLASSES + skip) * CLASSES + cls].astype(np.float64), first)
+                before, skip, leaf = contexts(t, leaves)
+                start = np.cumsum(t.counts) - t.counts
+                each = first[(before * CLASSES + skip) * CLASSES + leaf // LEAVES].astype(np.float64)
+                each += by_word[before * CELLS + leaf]
+                each += by_skip[skip * CELLS + leaf]
+                model = np.add.reduceat(each, start)
                 at = pc.index_in(t.words, value_set=head_list)
                 found = at.is_valid().to_numpy(zero_copy_only=False)
                 logs = np.zeros(len(t.words))
                 logs[found] = head_log[at.drop_null().to_numpy()]
-                known, sure = np.add.reduceat(found[t.codes].astype(np.int64), first), np.add.reduceat(logs[t.codes], first)
+                known, sure = np.add.reduceat(found[t.codes].astype(np.int64), start), np.add.reduceat(logs[t.codes], start)
                 n = part.num_rows
                 rows = [part.column(0), part.column(1), pa.array(t.counts), pa.array(known), pa.array(sure), pa.array(model), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(rows, names)
