@@ -39,8 +39,8 @@ from . import store
 
 END = "\n"  #: the token that ends a document; no word contains it
 CLASSES, WORD_ROWS, PAIR_ROWS = 64, 1024, 4096  #: classes with that of the end; rows of hashed words and hashed pairs
-LEAVES, OWN = 64, 48  #: leaves of a class; those of them that are for one word
-CELLS = CLASSES * LEAVES
+LEAVES, OWN = 32, 24  #: leaves of a class; those of them that are for one word
+CELLS, PAIRS = CLASSES * LEAVES, CLASSES * CLASSES
 ADDED = 400_000  #: counted words that a task adds up before it sends them on
 SLICE = 4_000_000  #: bytes of text looked at together
 
@@ -212,7 +212,7 @@ def count_events(docs: DataFrame, leaves: Leaves) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task's text has fewer than 2 ** 31 tokens
-        tables = np.zeros(WORD_ROWS * CLASSES * CLASSES, np.int32), np.zeros(WORD_ROWS * CELLS, np.int32), np.zeros(CLASSES * CELLS, np.int32)
+        tables = np.zeros(WORD_ROWS * PAIRS, np.int32), np.zeros(WORD_ROWS * CELLS, np.int32), np.zeros(CLASSES * CELLS, np.int32)
         for batch in batches:
             for part in slices(batch, 0):
                 before, skip, leaf = contexts(tokenize(part.column(0)), leaves)
@@ -232,7 +232,7 @@ def count_events(docs: DataFrame, leaves: Leaves) -> DataFrame:
                 for row, salt, cells, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     table = sums.get((row, salt))
                     if table is None:
-                        table = sums[row, salt] = np.zeros(2 * CELLS, np.int64)
+                        table = sums[row, salt] = np.zeros(PAIRS + CELLS, np.int64)
                     table[np.frombuffer(cells, np.uint16)] += np.frombuffer(n, np.int64)
             for (row, _), table in sums.items():
                 at = np.flatnonzero(table)
@@ -281,11 +281,11 @@ class Weights:
         return (self.leaf_bias + self.leaf_word[w] + self.leaf_skip[skip]).reshape(len(skip), CLASSES, LEAVES)
 
 
-def _sums(weights: Weights | None):
-    """For rows of events their observed counts, or those that the weights expect: (kind, row, data)."""
+def _sums(given):
+    """For rows of events their observed counts, or those that the weights (a broadcast) expect: (kind, row, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, rows = Weights.zeros(), []
+        out, rows, weights = Weights.zeros(), [], given and given.value
         for batch in batches:
             for w, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = np.frombuffer(data, np.float32)
@@ -293,11 +293,11 @@ def _sums(weights: Weights | None):
                     if weights is None:
                         out.leaf_skip[w - WORD_ROWS] += n[:CELLS]
                     continue
-                counts = n[:CELLS].reshape(CLASSES, CLASSES)
+                counts = n[:PAIRS].reshape(CLASSES, CLASSES)
                 skip = np.flatnonzero(counts.any(axis=1))
                 seen = counts[skip].astype(np.float64)
                 if weights is None:
-                    rows.append((w, n[CELLS:].tobytes()))
+                    rows.append((w, n[PAIRS:].tobytes()))
                 else:
                     # scores stay far below what float32 holds, so none is shifted first
                     e = np.exp(weights.leaf_scores(w, skip))
@@ -329,7 +329,8 @@ def train(events: DataFrame, leaves: Leaves, steps: int = 12, rate: float = 0.3,
     def gathered(weights: Weights | None) -> Weights:
         total = Weights.zeros()
         classes = np.zeros((1 + WORD_ROWS + CLASSES + PAIR_ROWS, CLASSES))
-        for r in dealt.mapInArrow(_sums(weights), "kind string, row int, data binary").toLocalIterator():
+        given = weights and dealt.sparkSession.sparkContext.broadcast(weights)
+        for r in dealt.mapInArrow(_sums(given), "kind string, row int, data binary").collect():
             if r.kind == "word":
                 total.leaf_word[r.row] += np.frombuffer(r.data, np.float32)
             elif r.kind == "skips":
@@ -337,6 +338,8 @@ def train(events: DataFrame, leaves: Leaves, steps: int = 12, rate: float = 0.3,
             else:
                 classes += np.frombuffer(r.data).reshape(classes.shape)
         total.bias, total.word, total.skip, total.pair = np.split(classes, np.cumsum([1, WORD_ROWS, CLASSES]))
+        if given:
+            given.destroy()  # of fixed size, and no longer needed
         return total
 
     observed, weights = gathered(None), Weights.zeros()
@@ -380,10 +383,11 @@ def score_texts(docs: DataFrame, train_on, text: str = "text", key: str = "doc_i
     head_list, head_counts = head.column("word").combine_chunks().cast(pa.large_string()), head.column("c").to_numpy()
     head_log = np.log10(head_counts + 1.0)
     leaves = make_leaves(counts, head_list, head_counts)
-    first, by_word, by_skip = score_tables(train(count_events(train_docs, leaves), leaves), leaves)
+    tables = spark.sparkContext.broadcast(score_tables(train(count_events(train_docs, leaves), leaves), leaves))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, by_word, by_skip = tables.value
         for batch in batches:
             for part in slices(batch, 2):
                 t = tokenize(part.column(2))
@@ -413,6 +417,7 @@ def score_texts(docs: DataFrame, train_on, text: str = "text", key: str = "doc_i
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), store.whole_text(docs, text).alias("text"))
     scored = rows.mapInArrow(run, f"rid long, key {kind}, n_tokens long, known long, sure double, model double, word string, times long")
     scored = store.materialize(scored, "scored")
+    tables.destroy()
     tail = scored.filter("word is not null").select("rid", "word", "times").join(counts.filter(F.col("c") < least), "word")
     tail = tail.groupBy("rid").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare"))
     whole = F.col("sure") + F.coalesce("rare", F.lit(0.0))

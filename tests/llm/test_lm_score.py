@@ -97,7 +97,7 @@ def test_events_and_one_step_match_plain_loops(spark):
             if w == r:
                 one[s, leaf // lm.LEAVES] += n
                 two[leaf] += n
-        assert (got[r][: lm.CELLS] == one.ravel()).all() and (got[r][lm.CELLS :] == two).all()
+        assert (got[r][: lm.PAIRS] == one.ravel()).all() and (got[r][lm.PAIRS :] == two).all()
     bias = np.zeros(lm.CELLS)
     for (_, _, leaf), n in seen.items():
         bias[leaf] += n
