@@ -107,12 +107,15 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, text, key).filter("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
+
+    Of rows with equal text and key, nulls included, one stays.
+    """
+    kept = exact_dedup(docs, text, key).filter("kept").select(F.col(key).alias("kept_key"), F.col("text_sha256").alias("kept_sha"))
     sha = F.sha2(F.translate(store.whole_text(docs, text), UPPER, LOWER), 256)
-    rest = docs.withColumn("_sha", sha)
-    met = rest.join(kept, rest[key].eqNullSafe(kept["_key"]) & (rest["_sha"] == kept["_sha"]), "left_semi")
-    return met.dropDuplicates([key, "_sha"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), sha.alias("sha"))
+    met = rows.join(kept, F.col("k").eqNullSafe(F.col("kept_key")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return met.dropDuplicates(["k", "sha"]).select("row.*")
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -1,14 +1,16 @@
 """License scans: TF-IDF cosine to templates, and inheritance by directories (operator 5, DataFrame functions only).
 
-Units are the sentences of a text's lines, wherever they stand. A unit's terms are
-weighed by how rare they are among all documents; terms outside every template
-count as if no document had them, so foreign words lower a likeness. A unit whose
-cosine to a template reaches 0.6 names that license.
+Units are the sentences of a text's lines, wherever they stand, and the whole text.
+A unit's terms are weighed by how rare they are among all documents; terms outside
+every template count as if no document had them, so foreign words lower a likeness. A
+sentence whose cosine to a template's sentence reaches 0.6 names that license, and so
+does a whole text whose cosine to a license's own text does.
 
 Only units with a telling term are looked at: of each template its heaviest terms,
 as many as it takes for the rest of it to be below a cosine of 0.6 to any unit
 (without terms that hold a share q of a template's squared norm no unit gets above the
-root of 1 - q). So no likeness is lost, however common a term is.
+root of 1 - q). A whole text is looked at if the terms of a license's text that it
+holds have enough of that squared norm. So no likeness is lost, however common a term is.
 
 A document that is at least half license text is a licence file and speaks for its
 directory. Documents without a license of their own take that of the nearest
@@ -44,6 +46,37 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+# Whole texts of short licenses. Longer ones can be given as a parameter.
+TEXTS = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS
+OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form
+must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute
+this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize
+copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the
+benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.""",
+}
+WHOLE = -1  #: the unit that is a whole text
+
 
 def _terms(text: str) -> list[str]:
     return [t for t in re.split(TERMS, text.lower()) if t]
@@ -83,49 +116,65 @@ def _telling(weights: dict[str, float]) -> set[str]:
     return out
 
 
-def own_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def _held(terms: str, squares: dict[str, float]):
+    """The sum of the squares of those terms that an array holds."""
+    part = F.create_map(*(F.lit(x) for pair in squares.items() for x in pair))
+    return F.aggregate(F.array_intersect(terms, _array(sorted(squares))), F.lit(0.0), lambda total, t: total + part[t])
+
+
+def own_licenses(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", templates: dict[str, list[str]] = TEMPLATES, texts: dict[str, str] = TEXTS
+) -> DataFrame:
     """(rid, key, path, license, similarity, n_units, share) of every row: its best license, null if there is none.
 
     Null texts count as empty. n_units counts license units, share is their part of
-    the text's code points. Rows are told apart by rid; other columns are not read.
+    the text's code points, 1 if the whole text is one. Rows are told apart by rid; other
+    columns are not read.
     """
     spark = docs.sparkSession
-    sentences = [(i, name, _terms(s)) for i, (name, s) in enumerate((n, s) for n, all_ in templates.items() for s in all_)]
-    vocabulary = sorted({t for _, _, terms in sentences for t in terms})
+    known = [(name, s, False) for name, all_ in templates.items() for s in all_] + [(name, s, True) for name, s in texts.items()]
+    sentences = [(i, name, _terms(s), whole) for i, (name, s, whole) in enumerate(known)]
+    vocabulary = sorted({t for _, _, terms, _ in sentences for t in terms})
     total, counts = term_counts(docs, text, vocabulary)
     rarity, unknown = _weights(total, counts, vocabulary)
 
-    entries, telling = [], set()
-    for i, name, terms in sentences:
+    entries, telling, enough = [], set(), F.lit(False)
+    for i, name, terms, whole in sentences:
         weights = {t: terms.count(t) * rarity[t] for t in terms}
-        telling |= _telling(weights)
-        norm = sum(w * w for w in weights.values()) ** 0.5
-        entries += [(t, i, name, w * rarity[t] / norm) for t, w in weights.items()]
-    table = spark.createDataFrame(entries, "term string, template int, license string, part double")
+        squares = {t: w * w for t, w in weights.items()}
+        norm = sum(squares.values()) ** 0.5
+        entries += [(t, i, name, whole, w * rarity[t] / norm) for t, w in weights.items()]
+        if whole:
+            enough |= _held("hits", squares) >= (LEAST**2 - 1e-6) * norm**2
+        else:
+            telling |= _telling(weights)
+    table = spark.createDataFrame(entries, "term string, template int, license string, whole boolean, part double")
     idf = spark.createDataFrame(list(rarity.items()), "term string, idf double")
 
-    telling = sorted(telling)
+    telling = _array(sorted(telling))
     value = store.whole_text(docs, text)
-    found = F.filter(F.split(F.col("text"), UNITS), lambda u: F.arrays_overlap(_split(u), _array(telling)))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(path).alias("path"), value.alias("text"))
-    has = F.arrays_overlap(_split(F.col("text")), _array(telling)) if telling else F.lit(False)
-    rows = rows.select("rid", "key", "path", F.char_length("text").alias("n"), F.when(has, found).otherwise(F.array().cast("array<string>")).alias("units"))
+    rows = rows.withColumn("hits", F.array_intersect(_split(F.col("text")), _array(vocabulary)))
+    found = F.filter(F.split(F.col("text"), UNITS), lambda u: F.arrays_overlap(_split(u), telling))
+    units = F.when(F.arrays_overlap("hits", telling), found).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("rid", "key", "path", F.char_length("text").alias("n"), units.alias("units"), F.when(enough, F.col("text")).alias("whole"))
     rows = store.materialize(rows, "license-units")
 
-    units = rows.select("rid", F.posexplode("units").alias("unit", "text"))
+    units = rows.select("rid", F.posexplode("units").alias("unit", "text")).unionByName(rows.filter("whole is not null").select("rid", F.lit(WHOLE).alias("unit"), F.col("whole").alias("text")))
     terms = units.select("rid", "unit", F.explode(_split(F.col("text"))).alias("term")).groupBy("rid", "unit", "term").agg(F.count("*").alias("tf"))
     terms = store.materialize(terms, "license-terms")
     weight = F.col("tf") * F.coalesce("idf", F.lit(unknown))
     norms = terms.join(F.broadcast(idf), "term", "left").groupBy("rid", "unit").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    dots = terms.join(F.broadcast(table), "term").groupBy("rid", "unit", "template", "license").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"))
+    met = terms.join(F.broadcast(table), "term").filter((F.col("unit") == WHOLE) == F.col("whole"))
+    dots = met.groupBy("rid", "unit", "template", "license").agg(F.sum(F.col("tf") * F.col("part")).alias("dot"))
     near = dots.join(norms, ["rid", "unit"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("similarity") >= LEAST)
     best = F.max(F.struct("similarity", (-F.col("template")).alias("order"), "license")).alias("best")
     lengths = units.select("rid", "unit", F.char_length("text").alias("chars"))
     by_unit = near.groupBy("rid", "unit").agg(best).join(lengths, ["rid", "unit"])
     by_row = by_unit.groupBy("rid").agg(F.max("best").alias("best"), F.count("*").alias("n_units"), F.sum("chars").alias("chars"))
-    return rows.drop("units").join(by_row, "rid", "left").select(
+    return rows.drop("units", "whole").join(by_row, "rid", "left").select(
         "rid", "key", "path", F.col("best.license").alias("license"), F.col("best.similarity").alias("similarity"),
-        F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"), F.coalesce(F.col("chars") / F.greatest("n", F.lit(1)), F.lit(0.0)).alias("share"),
+        F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"), F.coalesce(F.least(F.col("chars") / F.greatest("n", F.lit(1)), F.lit(1.0)), F.lit(0.0)).alias("share"),
     )
 
 
@@ -141,13 +190,13 @@ def _ancestors(path):
     return F.array_distinct(F.concat(F.array(F.lit("")), up))
 
 
-def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", templates: dict[str, list[str]] = TEMPLATES, texts: dict[str, str] = TEXTS) -> DataFrame:
     """One row per row of docs: key, license, similarity, origin (own, inherited or none), from_directory, n_units.
 
     Of several licence files of a directory the one with the highest similarity
     speaks, then the one with the least license name. Rows without a path inherit nothing.
     """
-    rows = store.materialize(own_licenses(docs, text, key, path, templates).withColumn("dir", directory(F.col("path"))), "licenses")
+    rows = store.materialize(own_licenses(docs, text, key, path, templates, texts).withColumn("dir", directory(F.col("path"))), "licenses")
     files = rows.filter((F.col("share") >= FILE_SHARE) & F.col("license").isNotNull() & F.col("dir").isNotNull())
     w = Window.partitionBy("from_directory").orderBy(F.desc("_s"), "_license")
     speaking = files.groupBy(F.col("dir").alias("from_directory"), F.col("license").alias("_license")).agg(F.max("similarity").alias("_s"))

@@ -14,6 +14,8 @@ skipped, and the leaves of the others show what differs.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +24,8 @@ from . import store
 
 SECTION = r"(?:[^\n]+(?:\n|\z)){1,8}\n*|\n+"
 PARAGRAPH = r"[^\n]*\n+|[^\n]+"
+SUBRANGE_BITS = 6
+SUBRANGES = 1 << SUBRANGE_BITS  #: ranges of a key that many rows share
 LEAF = r"[^\n.!?]{1,200}[\n.!?]*|[\n.!?]{1,200}"
 
 
@@ -82,28 +86,36 @@ def locate_edits(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return leaves.select(key, "_b", "_leaf", (end - length).alias("start"), length.alias("length")).filter(~F.expr("contains(_b, _leaf)")).select(key, "start", "length")
 
 
-def by_ranges(docs: DataFrame, key: str, *ties: str):
+def by_ranges(docs: DataFrame, key: str, tie: str):
     """docs dealt by ranges of an ascending key, and the window in which the next row is lead().
 
-    Nulls come last, ties by the given columns; after the last row comes the first.
-    There are four times as many ranges as shuffle partitions, and their bounds are
-    all that the driver sees. Each range also gets the first row of the next one;
-    such copies are marked in _copy and are to be dropped after lead().
+    Nulls come last, equal keys by a hash of the column tie, then by it; after the last
+    row comes the first. There are four times as many ranges as shuffle partitions, and
+    their bounds are all that the driver sees. A key that fills a range by itself, and
+    null, are dealt over SUBRANGES ranges by that hash. Each range also gets the first row
+    of the next one; such copies are marked in _copy and are to be dropped after lead().
     """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100_000)).first()[0] or []))
+    found = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100_000).alias("bounds"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
+    bounds = sorted(set(found.bounds or []))
+    hot = [v for v, n in Counter(found.bounds or []).items() if n > 1]
+    docs = docs.withColumn("_tie", F.xxhash64(tie) if hot or found.nulls > 1 else F.lit(0).cast("long"))
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(key))) if bounds else F.lit(0)
-    place = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(at)
+    part = F.shiftright("_tie", 64 - SUBRANGE_BITS).cast("int") + SUBRANGES // 2 + 1  # from 1, in the order of the hash
+    place = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(at) * (SUBRANGES + 1) + F.when(F.col(key).isNull() | F.col(key).isin(hot), part).otherwise(0)
+    docs = docs.withColumn("_range", place)
     # one row for each range
-    firsts = sorted(((r[0], r[1]) for r in docs.groupBy(place.alias("range")).agg(F.min(key)).collect()), key=lambda r: r[0])
-    before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    table = spark.createDataFrame(before, f"_first {docs.schema[key].dataType.simpleString()}, _before int")
-    met = docs.withColumn("_range", place).join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_first")), "left")
+    firsts = docs.groupBy("_range").agg(F.min(F.struct(F.col(key).isNull(), key, "_tie")).alias("first")).select("_range", f"first.{key}", "first._tie")
+    firsts = sorted((tuple(r) for r in firsts.collect()), key=lambda r: r[0])
+    before = [(first, tie_, firsts[i - 1][0]) for i, (_, first, tie_) in enumerate(firsts)]
+    table = spark.createDataFrame(before, f"_first {docs.schema[key].dataType.simpleString()}, _first_tie long, _before int")
+    met = docs.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_first")) & (F.col("_tie") == F.col("_first_tie")), "left")
     own, copy = F.struct(F.col("_range").alias("r"), F.lit(False).alias("c")), F.struct(F.col("_before").alias("r"), F.lit(True).alias("c"))
     copies = F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, copy)))
-    rows = met.select(*docs.columns, copies.alias("_to")).select(*docs.columns, F.col("_to.r").alias("_range"), F.col("_to.c").alias("_copy"))
-    return rows.repartition("_range"), Window.partitionBy("_range").orderBy("_copy", F.asc_nulls_last(key), *ties)
+    columns = [c for c in docs.columns if c != "_range"]
+    rows = met.select(*columns, copies.alias("_to")).select(*columns, F.col("_to.r").alias("_range"), F.col("_to.c").alias("_copy"))
+    return rows.repartition("_range"), Window.partitionBy("_range").orderBy("_copy", F.asc_nulls_last(key), "_tie", tie)
 
 
 def fingerprints_with_edit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

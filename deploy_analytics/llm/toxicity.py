@@ -207,10 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> Model:
     return Model(voters, w, hashed, b)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column score (0 to 1); null texts count as empty, other columns stay."""
-    spark = docs.sparkSession
-    store.python_workers(spark)
+def _scored(docs: DataFrame, model: Model, text: str):
+    """The score of a text column of docs."""
+    store.python_workers(docs.sparkSession)
 
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _Words(model.voters, model.hashed)
@@ -224,8 +223,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
             yield pa.array(out, pa.float64())
 
-    scored = F.arrow_udf(scores, "double")
-    return docs.withColumn("score", scored(store.whole_text(docs, text)))
+    return F.arrow_udf(scores, "double")(store.whole_text(docs, text))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """docs with a column into (0 to 1), which replaces one of that name; null texts count as empty, other columns stay."""
+    return docs.withColumn(into, _scored(docs, model, text))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> DataFrame:
@@ -239,8 +242,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> D
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the model doesn't call toxic, with all their columns."""
-    return score(docs, fit(docs, labels)).filter("score < 0.5").select(*docs.columns)
+    """The rows of docs that the model doesn't call toxic, with all their columns as they are, whatever their names.
+
+    Null and empty texts are scored as empty ones. Without labels of both kinds all rows stay.
+    """
+    return docs.filter(_scored(docs, fit(docs, labels), "text") < 0.5)
 
 
 def op8_toxicity(spark, sf_dir):

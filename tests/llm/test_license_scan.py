@@ -9,10 +9,11 @@ def brute(rows):
     """(key, license, origin, from_directory) from (key, path, text), unit by unit and directory by directory."""
     total = len(rows)
     seen = Counter(t for _, _, text in rows for t in set(ls._terms(text or "")))
-    vocabulary = {t for all_ in ls.TEMPLATES.values() for s in all_ for t in ls._terms(s)}
+    vocabulary = {t for all_ in [*ls.TEMPLATES.values(), ls.TEXTS.values()] for s in all_ for t in ls._terms(s)}
     idf = lambda t: math.log((total + 1) / ((seen[t] if t in vocabulary else 0) + 1)) + 1
     vector = lambda terms: {t: n * idf(t) for t, n in Counter(terms).items()}
     templates = [(name, vector(ls._terms(s))) for name, all_ in ls.TEMPLATES.items() for s in all_]
+    texts = [(name, vector(ls._terms(s))) for name, s in ls.TEXTS.items()]
 
     def cosine(a, b):
         dot = sum(w * b.get(t, 0) for t, w in a.items())
@@ -21,9 +22,9 @@ def brute(rows):
     own, speaking = {}, {}
     for i, (_, path, text) in enumerate(rows):
         best, chars = None, 0
-        for unit in re.split(ls.UNITS, text or ""):
+        for known, first, unit in [(templates, 0, u) for u in re.split(ls.UNITS, text or "")] + [(texts, len(templates), text or "")]:
             v = vector(ls._terms(unit))
-            found = max(((cosine(v, t), -k, name) for k, (name, t) in enumerate(templates)), default=None) if v else None
+            found = max(((cosine(v, t), -k, name) for k, (name, t) in enumerate(known, first)), default=None) if v else None
             if found and found[0] >= ls.LEAST:
                 best, chars = max(best or found, found), chars + len(unit)
         own[i] = best
@@ -75,3 +76,15 @@ def test_common_headers_and_small_tables(spark):
         result = got(ls.license_scan(spark.createDataFrame(part, "doc_id long, path string, text string")))
         assert result == sorted(brute(part), key=str)
         assert {r[0] for r in result if r[1:3] == ("MIT", "own")} == {k for k, _, text in part if mit in text}
+
+
+def test_whole_license_files(spark):
+    filler = lambda i: f"plain words number {i} about nothing"
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + ls.TEXTS["MIT"]
+    rows = [(1, "p/LICENSE", mit), (2, "p/src/a", filler(2)), (3, "q/COPYING", ls.TEXTS["BSD-3-Clause"].lower().replace("\n", " ")), (4, "q/x/y/z", filler(4)), (5, "r/a", filler(5)), (6, "s/LICENSE", ls.TEXTS["ISC"])]
+    for more in (0, 40):
+        table = [*rows, *((100 + i, f"t/{i}", filler(i)) for i in range(more))]
+        result = got(ls.license_scan(spark.createDataFrame(table, "doc_id long, path string, text string")))
+        assert result == sorted(brute(table), key=str)
+        by = {r[0]: r[1:] for r in result}
+        assert by[1] == ("MIT", "own", None) and by[2] == ("MIT", "inherited", "p") and by[4] == ("BSD-3-Clause", "inherited", "q") and by[5][0] is None and by[6][:2] == ("ISC", "own")

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import xxhash
+
 from deploy_analytics.llm import merkle
 
 
@@ -26,8 +28,14 @@ def likeness(a, b):
     return 2 * sum(n for _, n in set(la) & set(lb)) / max(1, sum(n for _, n in set(la)) + sum(n for _, n in set(lb)))
 
 
-def expected(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+def hashed(text):
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (h >> 63 << 64), text
+
+
+def expected(rows, tie=str):
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie(r[1] or "")))
     out = []
     for i, (key, text) in enumerate(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -57,12 +65,20 @@ def test_query_matches_plain_python(spark):
 def test_edge_cases(spark):
     rows = [(5, None), (7, ""), (7, "A b. C d.\n\nE f!"), (7, "A b. C d.\n\nE f!"), (None, "é" * 1001), (9, "x. " * 30_000)]
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, fingerprint string")
-    same(merkle.fingerprints_with_edit(docs).collect(), expected(rows))
+    same(merkle.fingerprints_with_edit(docs).collect(), expected(rows, hashed))
     assert merkle.fingerprints_with_edit(docs.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
     same(merkle.fingerprints_with_edit(one).collect(), expected([(1, "abcd")]))
 
 
+def test_keys_that_many_rows_share(spark):
+    rows = [(None, f"null {i}") for i in range(400)] + [(50, f"fifty {i % 200}") for i in range(400)] + [(i, f"own {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(merkle.fingerprints_with_edit(docs).collect(), expected(rows, hashed))
+    dealt, _ = merkle.by_ranges(docs.selectExpr("doc_id as key", "text"), "key", "text")
+    assert dealt.groupBy("_range").count().agg({"count": "max"}).first()[0] < 60
+
+
 def test_edits_are_located(spark):
     a = "One two. Three four.\nFive six. Seven.\n"
     b = "One two. Three four.\nFive 66. Seven.\n"
