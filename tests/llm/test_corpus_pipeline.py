@@ -58,3 +58,20 @@ def test_stages_match_plain_versions(spark):
     assert sum(r["length"] for r in packed) == total
     assert check([Row(r) for r in packed]) <= -(-total // 2048) + 1
     assert re.fullmatch("doc_id,piece,start,length,ids_crc32,sequence_id,offset", ",".join(packed[0]))
+
+
+def test_nulls_repeats_and_empty_tables(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(3000))
+    texts = [(1, "Same text here, as it stands, with some words"), (2, "same text HERE, as it stands, with some words"), (2, "same text HERE, as it stands, with some words"), (None, "same text here, as it stands, with some words")]
+    texts += [(3, None), (4, ""), (None, None), (5, long), (6, long.replace("word1500 ", "other ")), (7, "api_key = 'abcdef123456'"), (8, "!!")]
+    rows = [(k, t, None, "s", None) for k, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted({r.doc_id for r in out}) == [2, 4, 5, 7, 8]
+    lengths = {k: sum(r.length for r in out if r.doc_id == k) for k in (4, 5, 8)}
+    assert lengths[4] == 1 and lengths[5] > 2 * 3000 and lengths[8] >= 2
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
