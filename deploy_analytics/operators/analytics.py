@@ -61,7 +61,7 @@ def verified_ratio_over_time(counts: DataFrame, deployments: DataFrame, labels:
 
 
 def code_counts_in(codes: DataFrame, bucket_codes: DataFrame, deployments: DataFrame, chain: int, block_range=None, width: int = rollups.BUCKET_BLOCKS) -> DataFrame:
-    """(code_hash, contract_count, n_code_bytes), a hash in up to three rows: whole buckets from their counts, edges from deployments."""
+    """(code_hash, contract_count, n_code_bytes), one row a hash: whole buckets from their counts, edges from deployments."""
     columns = ["code_hash", "contract_count", "n_code_bytes"]
     if block_range is None:
         return codes.filter(F.col("chain_id") == chain).select(*columns)
@@ -78,7 +78,8 @@ def code_counts_in(codes: DataFrame, bucket_codes: DataFrame, deployments: DataF
         parts.append(edge(s, first * width - 1))
     if e >= end * width:
         parts.append(edge(end * width, e))
-    return reduce(DataFrame.unionByName, parts)
+    every = reduce(DataFrame.unionByName, parts).groupBy("code_hash")
+    return every.agg(F.sum("contract_count").alias("contract_count"), F.max("n_code_bytes").alias("n_code_bytes"))
 
 
 def bytecode_size_distribution(counts: DataFrame, meta: DataFrame) -> DataFrame:

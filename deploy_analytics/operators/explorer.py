@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from . import decode, rollups
 
+# Spans and bounds have one row a chain, of which there are hundreds at most: these alone are broadcast.
+
 LABEL_COLUMNS = ["contract_name", "match_type"]
 
 
@@ -76,13 +78,28 @@ def decoded_view(meta: DataFrame) -> DataFrame:
     return decode.current_by_hash(meta).withColumn("code_hash_hex", F.concat(F.lit("0x"), F.lower(F.hex("code_hash"))))
 
 
+def _texts(*rows: tuple[DataFrame, str]) -> DataFrame:
+    """One row of aggregates for each table, joined as texts in order: (text)."""
+    parts = [df.select(F.lit(i).alias("i"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns)).alias("t")) for i, (df, columns) in enumerate(rows)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "|").alias("text"))
+
+
 def fingerprint(deployments: DataFrame, meta: DataFrame, labels: DataFrame) -> DataFrame:
     """One row, one string: counts and latest times of the inputs. An equal one means that a rebuild can be skipped."""
     one = deployments.agg(F.count("*").alias("d"), F.max("block_number").alias("b"))
     two = meta.agg(F.count("*").alias("m"), F.max("decoded_at").alias("t"))
     three = labels.agg(F.count("*").alias("l"), F.count_if("is_verified").alias("v"))
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in "dbmtlv"))
-    return one.crossJoin(two).crossJoin(three).select(text.alias("fingerprint"))
+    return _texts((one, "db"), (two, "mt"), (three, "lv")).withColumnRenamed("text", "fingerprint")
+
+
+def input_mark(meta: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, one string: what the wide table's content depends on besides deployments."""
+    latest = F.max("checked_at") if "checked_at" in labels.columns else F.lit(None)
+    two, three = meta.agg(F.count("*").alias("m"), F.max("decoded_at").alias("t")), labels.agg(F.count("*").alias("l"), F.count_if("is_verified").alias("v"), latest.alias("c"))
+    return _texts((two, "mt"), (three, "lvc")).withColumnRenamed("text", "mark")
 
 
 def stale_chains(deployments: DataFrame, wide: DataFrame, bound: DataFrame) -> DataFrame:

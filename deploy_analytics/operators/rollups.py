@@ -89,7 +89,7 @@ def snapshot_deployments(contracts: DataFrame, bytecodes: DataFrame) -> DataFram
     joined = contracts.join(sized, "bytecode_hash", "left")
     return joined.select(
         F.coalesce("chain_id", F.lit(1)).cast("long").alias("chain_id"), "block_number", "create_index", "contract_address",
-        F.lit(None).cast("long").alias("deployer"), F.col("bytecode_hash").alias("code_hash"), "n_code_bytes",
+        F.lit(None).cast(contracts.schema["contract_address"].dataType).alias("deployer"), F.col("bytecode_hash").alias("code_hash"), "n_code_bytes",
     )
 
 

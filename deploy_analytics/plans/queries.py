@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import jobs, schemas
 from ..functions import bytecode
 from ..functions.keccak import keccak256
 from ..operators import analytics, blocktime, decode, explorer, extract, rollups, verification
@@ -288,9 +288,13 @@ def rol03(spark, sf):
     return rollups.new_rows(two, rollups.dedup_batch(one), WIDTH).select(*rollups.KEY, "code_hash")
 
 
+def _follower(spark, root: str, confirmations: int = 0) -> Follower:
+    return Follower(spark, root, confirmations, WIDTH, "bigint", with_code=False)
+
+
 def _two_batches(spark, sf, root) -> Follower:
     """Source a, then b, then b again as a replay."""
-    follower, (one, two) = Follower(spark, root, confirmations=0, width=WIDTH), _sources(spark, sf)
+    follower, (one, two) = _follower(spark, root), _sources(spark, sf)
     for rows, batch in ((one, 0), (two, 1), (two, 1)):
         follower.ingest(rows, batch)
     return follower
@@ -311,16 +315,32 @@ def rol05(spark, sf):
     return follower.block_counts()
 
 
-@query("rol06_code_counts", f"WITH {DEP} SELECT chain_id, code_hash, count(*) AS contract_count, max(n_code_bytes) AS n_code_bytes FROM dep GROUP BY chain_id, code_hash")
+CODE_COUNTS = "SELECT chain_id, code_hash, count(*) AS contract_count, max(n_code_bytes) AS n_code_bytes FROM dep GROUP BY chain_id, code_hash"
+BUCKET_COUNTS = "SELECT chain_id, block_number // 1000 AS block_bucket, code_hash, count(*) AS contract_count, max(n_code_bytes) AS n_code_bytes FROM dep GROUP BY ALL"
+
+
+@query("rol06_code_counts", f"WITH {DEP} {CODE_COUNTS}")
 def rol06(spark, sf):
-    one, two = _sources(spark, sf)
-    stored = rollups.dedup_batch(one)
-    return rollups.summed(rollups.code_counts(stored).unionByName(rollups.code_counts(rollups.new_rows(two, stored, WIDTH))))
+    return _two_batches(spark, sf, scratch(spark, "rol06")).code_counts()
 
 
-@query("rol07_bucket_code_counts", f"WITH {DEP} SELECT chain_id, block_number // 1000 AS block_bucket, code_hash, count(*) AS contract_count, max(n_code_bytes) AS n_code_bytes FROM dep GROUP BY ALL")
+@query("rol07_bucket_code_counts", f"WITH {DEP} {BUCKET_COUNTS}")
 def rol07(spark, sf):
-    return rollups.bucket_code_counts(dep(spark, sf), WIDTH)
+    return _two_batches(spark, sf, scratch(spark, "rol07")).bucket_code_counts()
+
+
+def _three_counts(follower: Follower) -> DataFrame:
+    """The three tables of counts in one: kind, chain_id, key (block, code or bucket and code), contract_count."""
+    key = {"block": "cast(block_number as string)", "code": "cast(code_hash as string)", "bucket": "concat(block_bucket, '/', code_hash)"}
+    tables = {"block": follower.block_counts(), "code": follower.code_counts(), "bucket": follower.bucket_code_counts()}
+    rows = [tables[k].selectExpr(f"'{k}' as kind", "chain_id", f"{key[k]} as key", "contract_count") for k in key]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def three_counts_sql(rows: str) -> str:
+    return f"""SELECT 'block' AS kind, chain_id, block_number::VARCHAR AS key, count(*) AS contract_count FROM {rows} GROUP BY ALL
+    UNION ALL SELECT 'code', chain_id, code_hash::VARCHAR, count(*) FROM {rows} GROUP BY ALL
+    UNION ALL SELECT 'bucket', chain_id, (block_number // 1000)::VARCHAR || '/' || code_hash, count(*) FROM {rows} GROUP BY ALL"""
 
 
 FILES = "files AS (SELECT DISTINCT 'f' || (o_orderkey % 50) AS source_path FROM orders), manifest AS (SELECT DISTINCT 'f' || (o_orderkey % 60) AS source_path FROM orders WHERE o_orderkey % 3 = 0)"
@@ -342,6 +362,19 @@ def rol09(spark, sf):
     return rollups.vanished(*_listing(spark, sf))
 
 
+ONLY_B = "only_b AS (SELECT chain_id, block_number, create_index, contract_address, min(code_hash) AS code_hash FROM raw WHERE source_path = 'b' GROUP BY chain_id, block_number, create_index, contract_address)"
+
+
+@query("rol09_rebuild", f"WITH {RAW}, {ONLY_B} {three_counts_sql('only_b')}")
+def rol09_rebuild(spark, sf):
+    """Both sources are taken in; then one vanishes, so all is built anew from the other."""
+    follower, raw = _follower(spark, scratch(spark, "rol09")), b.raw_deployments(spark, sf)
+    read = lambda files: raw.join(files.select("source_path"), "source_path", "left_semi")
+    for listed in (["a"], ["a", "b"], ["b"]):
+        follower.sync(spark.createDataFrame([(x,) for x in listed], "source_path string"), read)
+    return _three_counts(follower)
+
+
 @query("rol10_invalidate_source", f"WITH {RAW} SELECT chain_id, block_number, count(DISTINCT (create_index, contract_address)) AS contract_count FROM raw WHERE source_path = 'b' GROUP BY ALL")
 def rol10(spark, sf):
     raw = b.raw_deployments(spark, sf)
@@ -350,11 +383,32 @@ def rol10(spark, sf):
     return rollups.summed(rollups.block_counts(every).unionByName(rollups.negated(rollups.block_counts(gone))))
 
 
+@query("rol10_stored_counts", f"WITH {RAW}, {FRESH.replace('GROUP BY ALL', f'GROUP BY {KEYS}')} {three_counts_sql('fresh')}")
+def rol10_stored(spark, sf):
+    """Source a is removed from stored tables: what b brought first is left, in all counts, also after compaction."""
+    follower = _two_batches(spark, sf, scratch(spark, "rol10"))
+    follower.remove_source("a")
+    follower.compact()
+    return _three_counts(follower)
+
+
+@query("rol10_replaced_source", f"WITH {DEP} {three_counts_sql('dep')}")
+def rol10_replaced(spark, sf):
+    """A source is removed and taken in again: nothing is lost, nothing counted twice."""
+    follower = _two_batches(spark, sf, scratch(spark, "rol10"))
+    follower.replace_source("a", _sources(spark, sf)[0])
+    return _three_counts(follower)
+
+
 @query("rol11_backfill_buckets", f"WITH {DEP} SELECT chain_id, block_bucket, count(*) AS hashes, sum(contract_count)::BIGINT AS contracts FROM (SELECT chain_id, block_number // 1000 AS block_bucket, code_hash, count(*) AS contract_count FROM dep GROUP BY ALL) GROUP BY ALL")
 def rol11(spark, sf):
-    tables = Tables(spark, scratch(spark, "rol11"))
-    tables.swap("buckets", rollups.bucket_code_counts(dep(spark, sf), WIDTH))
-    return tables.read("buckets", None).groupBy("chain_id", "block_bucket").agg(F.count("*").alias("hashes"), F.sum("contract_count").alias("contracts"))
+    """Tables from before there were counts by bucket; a second backfill changes nothing."""
+    follower, rows = _follower(spark, scratch(spark, "rol11")), dep(spark, sf)
+    follower.tables.append("deployments", rows.withColumn("block_part", F.expr(f"block_number div {100 * WIDTH}")), 1, "block_part")
+    follower.tables.append("heads", rows.groupBy("chain_id").agg(F.max("block_number").alias("head")), 1)
+    for _ in range(2):
+        follower.backfill()
+    return follower.bucket_code_counts().groupBy("chain_id", "block_bucket").agg(F.count("*").alias("hashes"), F.sum("contract_count").alias("contracts"))
 
 
 @query("rol12_snapshot_ingest", f"WITH {CSV} SELECT block_number, create_index::BIGINT AS create_index, l_suppkey AS contract_address, h AS code_hash, (SELECT max(length(i.l_partkey::VARCHAR)) FROM item i WHERE i.h = numbered.h)::BIGINT AS n_code_bytes FROM numbered")
@@ -467,12 +521,10 @@ def dec10(spark, sf):
     return bytecode.with_trailer(trailed(spark, sf)).select("code_hash", "compiler_version")
 
 
-@query("dec11_addresses_by_source", "SELECT doc_id % 3 AS part, count(*) AS n, count(*) FILTER (doc_id % 4 = 2) AS sourced FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 65000 GROUP BY 1")
+@query("dec11_addresses_by_source", "SELECT doc_id % 3 AS part, count(*) AS n, count(*) FILTER (doc_id % 4 = 2) AS sourced FROM documents WHERE octet_length(encode(text)) + CASE doc_id % 4 WHEN 0 THEN 12 WHEN 1 THEN 14 WHEN 2 THEN 11 ELSE 2 END <= 65536 GROUP BY 1")
 def dec11(spark, sf):
     tables = Tables(spark, scratch(spark, "dec11"))
-    rows = trailed(spark, sf).filter("octet_length(code) <= 65000 + octet_length(code) - octet_length(code)").withColumn("chain_id", F.lit(1).cast("long"))
-    rows = rows.join(b.bytecodes(spark, sf).filter("octet_length(code) between 1 and 65000").select("code_hash"), "code_hash", "left_semi")
-    rows = rows.withColumn("contract_address", F.expr("unhex(lpad(hex(code_hash), 40, '0'))"))
+    rows = trailed(spark, sf).withColumns({"chain_id": F.lit(1).cast("long"), "contract_address": F.expr("unhex(lpad(hex(code_hash), 40, '0'))")})
     by_hash = tables.swap("by_hash", decode.decode_hashes(rows, rows.limit(0), "2024-01-01"))
     for part in (0, 1, 2, 1):  # a file that is decoded again replaces its rows
         tables.append("addresses", decode.decode_addresses(rows.filter(F.col("code_hash") % 3 == part), by_hash, f"file{part}"), part)
@@ -978,6 +1030,21 @@ def ex11(spark, sf):
     return tables.swap("bounds", explorer.bounds(tables.read("wide", None)))
 
 
+@query(
+    "ex11_refresh_job",
+    f"""WITH {DEP} SELECT 1 AS step, true AS rebuilt, count(*) AS n FROM dep WHERE block_number <= 9000 AND block_number % 7 > 0
+    UNION ALL SELECT 2, false, count(*) FROM dep WHERE block_number > 9000 OR block_number % 7 > 0 UNION ALL SELECT 3, true, count(*) FROM dep""",
+)
+def ex11_refresh(spark, sf):
+    """A first build, growth above the bounds, which is served live, and a backfill below them."""
+    wide, meta, labels, out = jobs.WideTable(spark, scratch(spark, "ex11"), WIDTH), b.metadata(spark, sf), b.labels(spark, sf).dropDuplicates(["chain_id", "contract_address"]), []
+    rows = written(dep(spark, sf), "ex11-rows")
+    for step, kept in enumerate(("block_number <= 9000 and block_number % 7 > 0", "block_number > 9000 or block_number % 7 > 0", "true"), 1):
+        rebuilt = wide.refresh(rows.filter(kept), meta, labels)
+        out.append(wide.served(rows.filter(kept), meta).agg(F.lit(step).alias("step"), F.lit(rebuilt).alias("rebuilt"), F.count("*").alias("n")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 LIVE = f"{WIDE}, {CHECKPOINTS.replace('cp AS', 'unused AS')}, old_span AS (SELECT min(block_number) AS a, max(block_number) AS z FROM dep WHERE chain_id = 1 AND block_number <= 9000)"
 
 
@@ -1007,7 +1074,7 @@ def ex13(spark, sf):
 def _follow(spark, sf, name: str, confirmations: int = 0) -> Follower:
     """Three runs over a folder in which files land between them, some late and overlapping."""
     root = scratch(spark, name)
-    raw, follower = b.raw_deployments(spark, sf), Follower(spark, f"{root}/out", confirmations, WIDTH)
+    raw, follower = b.raw_deployments(spark, sf), _follower(spark, f"{root}/out", confirmations)
     landings = ["block_number between 4000 and 9000 and source_path = 'a'", "block_number > 8000 and source_path = 'b'", "not (block_number between 4000 and 9000 and source_path = 'a') and not (block_number > 8000 and source_path = 'b')"]
     for i, rows in enumerate(landings):
         raw.filter(rows).coalesce(2).write.mode("append").parquet(f"{root}/in")
@@ -1020,6 +1087,31 @@ def str01(spark, sf):
     return _follow(spark, sf, "str01").block_counts()
 
 
+@query("str01_all_counts", f"WITH {DEP} {three_counts_sql('dep')}")
+def str01_counts(spark, sf):
+    return _three_counts(_follow(spark, sf, "str01"))
+
+
+@query(
+    "str01_contract_files",
+    f"WITH {DEP} SELECT chain_id, code_hash, count(*) AS contract_count, max(n_code_bytes) AS n_code_bytes, true AS is_decoded, (SELECT count(DISTINCT source_path) FROM raw) AS sources FROM dep GROUP BY chain_id, code_hash",
+)
+def str01_files(spark, sf):
+    """Contract files as extraction writes them: binary keys, the source from the file's name, code decoded in the tick."""
+    root, raw = scratch(spark, "str01"), b.raw_deployments(spark, sf)
+    wide = lambda c, n: F.expr(f"unhex(lpad(hex({c}), {2 * n}, '0'))").alias(c)
+    given = {"contract_address": wide("contract_address", 20), "deployer": wide("deployer", 20), "code_hash": wide("code_hash", 32), "code": F.expr("encode(cast(code_hash as string), 'UTF-8')").alias("code")}
+    rows = raw.select("source_path", *(given.get(f.name, F.col(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)) for f in schemas.DEPLOYMENT))
+    follower = Follower(spark, f"{root}/out", 0, WIDTH)
+    for source in ("a", "b"):
+        rows.filter(F.col("source_path") == source).drop("source_path").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        follower.run(f"{root}/in").awaitTermination()
+    counts = follower.code_counts().join(follower.metadata().select("code_hash", F.lit(True).alias("is_decoded")), "code_hash", "left")
+    known = follower.sources().agg(F.count("*").alias("sources"))
+    number = F.conv(F.hex("code_hash"), 16, 10).cast("long").alias("code_hash")
+    return counts.crossJoin(F.broadcast(known)).select("chain_id", number, "contract_count", "n_code_bytes", "is_decoded", "sources")
+
+
 @query("str02_confirmations", f"WITH {DEP}, h AS (SELECT chain_id, max(block_number) - 12 AS safe FROM dep GROUP BY 1) SELECT dep.chain_id, max(block_number) AS last, count(*) AS n FROM dep JOIN h USING (chain_id) WHERE block_number <= safe GROUP BY 1")
 def str02(spark, sf):
     rows = _follow(spark, sf, "str02", 12).deployments()
@@ -1031,9 +1123,9 @@ def str03(spark, sf):
     """Files that landed before the first tick are taken one at a tick."""
     root = scratch(spark, "str03")
     b.raw_deployments(spark, sf).repartition(3, "block_number").write.parquet(f"{root}/in")
-    follower = Follower(spark, f"{root}/out", 0, WIDTH)
+    follower = _follower(spark, f"{root}/out")
     follower.run(f"{root}/in", files_a_tick=1).awaitTermination()
-    ticks = len(follower.tables._committed("deployments", "batch"))
+    ticks = len(follower.tables.committed("heads/batch"))
     return follower.deployments().groupBy("chain_id").agg(F.count("*").alias("n"), F.lit(ticks > 1).alias("several_ticks"))
 
 
@@ -1041,17 +1133,14 @@ def str03(spark, sf):
 def str04(spark, sf):
     """Hashes are decoded in the batch in which they are first seen."""
     root, codes = scratch(spark, "str04"), b.bytecodes(spark, sf)
-    tables = Tables(spark, f"{root}/out")
-    schema = decode.decode_hashes(codes, codes.limit(0), "2024-01-01").schema
-
-    def batch(rows: DataFrame, number: int) -> None:
-        tables.append("by_hash", decode.decode_hashes(rows, tables.batches("by_hash", schema, besides=number), "2024-01-01"), number)
-
+    number = lambda c: F.col("code_hash").alias(c)
+    rows = codes.select(F.lit(1).cast("long").alias("chain_id"), number("block_number"), F.lit(0).cast("long").alias("create_index"), number("contract_address"), number("deployer"), "code_hash",
+                        F.octet_length("code").cast("long").alias("n_code_bytes"), F.lit("a").alias("source_path"), "code")
+    follower = Follower(spark, f"{root}/out", 0, WIDTH, "bigint")
     for part in ("code_hash % 3 = 0", "code_hash % 2 = 0", "true"):
-        codes.filter(part).write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(codes.schema).parquet(f"{root}/in").writeStream.foreachBatch(batch)
-        stream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return tables.batches("by_hash", schema).agg(F.count("*").alias("n"))
+        rows.filter(part).write.mode("append").parquet(f"{root}/in")
+        follower.run(f"{root}/in").awaitTermination()
+    return follower.metadata().agg(F.count("*").alias("n"))
 
 
 @query("str05_replay", f"WITH {DEP} SELECT chain_id, count(*) AS n, count(DISTINCT block_number) AS blocks FROM dep GROUP BY chain_id")
@@ -1088,3 +1177,16 @@ def str08(spark, sf):
     rows = verification.label_rows(verification.recompute(deployed, verified, 1, touched), 1, 0)
     out = tables.swap("labels", verification.replaced(labels, touched, rows, 1))
     return out.select("chain_id", "contract_address", "match_type", "checked_at", "block_number", "create_index")
+
+
+@query("str08_registry_job", f"WITH {JOINED} {LABELLED}")
+def str08_job(spark, sf):
+    """An import without the last file, an update that sees it, and a look that finds nothing new."""
+    deployed, verified = _registry(spark, sf)
+    files = verified.select("file").distinct().select(F.col("file").alias("path"), F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("modified"), F.lit(False).alias("is_deployment"))
+    files = files.unionByName(deployed.select("file").distinct().select(F.col("file").alias("path"), F.lit(1).cast("long").alias("length"), F.lit(1).cast("long").alias("modified"), F.lit(True).alias("is_deployment")))
+    registry, before = jobs.Registry(spark, scratch(spark, "str08"), 1), "{} <> 'verified_contracts_7'"
+    registry.refresh(files.filter(before.format("path")), deployed, verified.filter(before.format("file")), 0)
+    for _ in range(2):
+        registry.refresh(files, deployed, verified, 0)
+    return registry.table("labels").select("chain_id", "contract_address", "match_type", "checked_at", "block_number", "create_index")

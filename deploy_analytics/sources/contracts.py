@@ -21,8 +21,8 @@ def read_union(spark: SparkSession, folder: str, glob: str = "*.parquet") -> Dat
     return rows.withColumn("source_path", F.col("_metadata.file_name")).filter(F.col("source_path") != LABEL_FILE)
 
 
-def normalized(rows: DataFrame) -> DataFrame:
-    """rows with the columns that ingestion needs; absent ones get defaults.
+def normalized(rows: DataFrame, *more: str | None) -> DataFrame:
+    """rows with the columns that ingestion needs, and more of their own; absent ones get defaults.
 
     block_number and contract_address are required. The size falls back to that of
     the code, the chain to 1.
@@ -39,7 +39,7 @@ def normalized(rows: DataFrame) -> DataFrame:
     return rows.select(
         column("chain_id", "long", 1), F.col("block_number").cast("long"), column("create_index", "long", 0), "contract_address",
         column("deployer", address), column("code_hash", address if "code_hash" not in have else rows.schema["code_hash"].dataType.simpleString()),
-        size.alias("n_code_bytes"), *(["source_path"] if "source_path" in have else []),
+        size.alias("n_code_bytes"), *(c for c in ("source_path", *more) if c in have),
     )
 
 

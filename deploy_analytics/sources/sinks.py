@@ -25,7 +25,7 @@ def write_chunks(rows: DataFrame, path: str, start: int, done: DataFrame | None
     """
     rows = rows.withColumn("chunk", chunk_of(start, size))
     if done is not None:
-        rows = rows.join(F.broadcast(done.select("chunk")), "chunk", "left_anti")
+        rows = rows.join(done.select("chunk"), "chunk", "left_anti")
     dealt = rows.repartitionByRange("chain_id", "chunk", "block_number").sortWithinPartitions("chain_id", "chunk", "block_number", "create_index")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain_id", "chunk").parquet(path)
 
@@ -36,7 +36,7 @@ def chunk_report(rows: DataFrame, planned: DataFrame, start: int, done: DataFram
     out = planned.join(found, "chunk", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
     skipped = F.lit(False)
     if done is not None:
-        out = out.join(F.broadcast(done.select("chunk").distinct().withColumn("_done", F.lit(True))), "chunk", "left")
+        out = out.join(done.select("chunk").distinct().withColumn("_done", F.lit(True)), "chunk", "left")
         skipped = F.coalesce("_done", skipped)
     status = F.when(skipped, "skipped").when(F.col("rows") == 0, "empty").otherwise("written")
     return out.select("chunk", "first_block", "last_block", "rows", "min_block", "max_block", status.alias("status"))

@@ -1,63 +1,220 @@
-"""Following the head: landed files become deployments and counts, micro-batch by micro-batch.
+"""Following the head: landed files become deployments, counts and metadata, micro-batch by micro-batch.
 
-Both outputs of a batch carry its number. A batch that is run again compares itself
-with the rows of *other* batches only and replaces its own, so a crash between the
-two writes leaves no skew. Late files below the head are counted in place.
+All outputs of a batch carry its number. The table of heads is written last, and a
+batch counts once it is there, so readers see all of a batch or nothing. A batch that
+is run again compares itself with the rows of *other* batches only and replaces its
+own. Late files below the head are counted in place.
+
+Counts are additive: removing a source appends the negative counts of its rows and a
+tombstone that hides them, and compaction drops both for good. Deployments lie in
+partitions of many block buckets, sorted by block, and a batch is compared with the
+partitions that it touches.
 """
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
-from ..operators import rollups
+from .. import schemas, tables
+from ..operators import decode, rollups
+from ..sources import contracts
 from ..tables import Tables
 
 CONFIRMATIONS = 12
 FILES_A_TICK = 1000
+TICK = 1000  #: numbers from one micro-batch to the next; those between are for batches that no stream brings
+PART_BUCKETS = 100  #: block buckets of a partition of deployments
+MANY_PARTS = 1000  #: partitions by which a comparison is pruned one by one; beyond, by their span
 
 
 class Follower:
-    def __init__(self, spark: SparkSession, root: str, confirmations: int = CONFIRMATIONS, width: int = rollups.BUCKET_BLOCKS):
-        self.tables, self.confirmations, self.width = Tables(spark, root), confirmations, width
-        self.spark, self.root = spark, root
-
-    def deployments(self) -> DataFrame:
-        return self.tables.batches("deployments", schemas.STORED)
+    """Stored deployments with their counts, and metadata of their code where rows bring it (a column code).
+
+    kind is the type of addresses and hashes; it is binary in contract files, and these bring code.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, confirmations: int = CONFIRMATIONS, width: int = rollups.BUCKET_BLOCKS, kind: str = "binary", with_code: bool = True):
+        self.spark, self.home, self.confirmations, self.width, self.kind = spark, root, confirmations, width, kind
+        self.schema = schemas.stored(kind)
+        self.brought, self.with_code = self.schema + ", code binary" * with_code, with_code  # what a batch brings
+        self.columns = [c for c in tables.empty(spark, self.brought).columns if c != "code"]
+        self.generations = Tables(spark, root)
+        self.tables = Tables(spark, f"{root}/generation={max(self.generations.committed('generation'), default=0)}")
+
+    # -- what is stored
+
+    def _batches(self, besides: int | None = None) -> tuple[list[int], list[int]]:
+        """The last base, if any, and the committed batches after it."""
+        base = self.tables.committed("heads/batch", tables.BASE)[-1:]
+        return base, [b for b in self.tables.committed("heads/batch") if b != besides and b > (base[0] if base else -1)]
+
+    def _table(self, name: str, schema: str, besides: int | None = None, batches=None) -> DataFrame:
+        base, after = batches or self._batches(besides)
+        return self.tables.folders(name, schema, base, after)
+
+    def deployments(self, besides: int | None = None) -> DataFrame:
+        """Stored rows, with block_part, without those of removed sources."""
+        batches = self._batches(besides)
+        rows = self._table("deployments", self.schema + ", block_part long, batch string", batches=batches)
+        if not self.tables.existing("removed", [], batches[1]):
+            return rows.drop("batch")
+        # a few names until the next compaction
+        gone = self._table("removed", schemas.REMOVED, batches=([], batches[1])).groupBy("source_path").agg(F.max("upto").alias("upto")).collect()
+        number = F.coalesce(F.col("batch").try_cast("long"), F.lit(-1))  # a base stands before all batches after it
+        hidden = reduce(or_, ((F.col("source_path") == r.source_path) & (number <= r.upto) for r in gone))
+        return rows.filter(~F.coalesce(hidden, F.lit(False))).drop("batch")
 
     def block_counts(self) -> DataFrame:
-        return rollups.summed(self.tables.batches("block_counts", schemas.BLOCK_COUNTS))
+        return rollups.summed(self._table("block_counts", schemas.BLOCK_COUNTS))
+
+    def code_counts(self) -> DataFrame:
+        return rollups.summed(self._table("code_counts", schemas.code_counts(self.kind)))
+
+    def bucket_code_counts(self) -> DataFrame:
+        return rollups.summed(self._table("bucket_code_counts", schemas.bucket_code_counts(self.kind)))
 
-    def held(self, batch: int) -> DataFrame:
-        """Rows that a batch held back because their blocks may still change."""
-        return self.tables._read([f"{self.root}/held/batch={batch}"] if batch in self.tables._committed("held", "batch") else [], schemas.STORED)
+    def metadata(self, besides: int | None = None) -> DataFrame:
+        """What decoding found, by code hash."""
+        return self._table("metadata", schemas.metadata(self.kind), besides)
+
+    def _source_sums(self) -> DataFrame:
+        rows = self._table("sources", schemas.SOURCES)
+        return rows.groupBy("source_path").agg(F.min("start_block").alias("start_block"), F.max("end_block").alias("end_block"), F.sum("rows").alias("rows"), F.sum("live").alias("live")).filter("live > 0")
+
+    def sources(self) -> DataFrame:
+        """(source_path, start_block, end_block, rows) of every source that was taken in and not removed since; rows are those it brought first."""
+        return self._source_sums().drop("live")
+
+    def heads(self, besides: int | None = None) -> DataFrame:
+        """(chain_id, head): a few rows for each batch."""
+        return self._table("heads", schemas.HEADS, besides).groupBy("chain_id").agg(F.max("head").alias("head"))
+
+    # -- one batch
 
     def ingest(self, rows: DataFrame, batch: int) -> None:
-        """One micro-batch: rows and those held back before, up to the head less the confirmations."""
-        rows = rows.unionByName(self.held(batch - 1))
+        """One micro-batch of the stream: rows and those held back before, up to the head less the confirmations."""
+        self.take(rows, TICK * (batch + 1))
+
+    def take(self, rows: DataFrame, number: int) -> None:
+        """Rows of the stored schema (and code) as batch number."""
+        bring = self.columns + ["code"] * self.with_code
+        before = [b for b in self._batches(number)[1] if b < number][-1:]
+        rows = rollups.complete(rows).select(*bring).unionByName(self.tables.folders("held", self.brought, [], before))
+        own = rows.groupBy("chain_id").agg(F.max("block_number").alias("head"))
+        heads = own.unionByName(self.heads(number)).groupBy("chain_id").agg(F.max("head").alias("head"))
         if self.confirmations:
-            seen = self.tables.batches("block_counts", schemas.BLOCK_COUNTS, besides=batch).select("chain_id", "block_number")
-            heads = rows.select("chain_id", "block_number").unionByName(seen).groupBy("chain_id").agg((F.max("block_number") - self.confirmations).alias("safe"))
-            rows = rows.join(F.broadcast(heads), "chain_id")
-            self.tables.append("held", rows.filter("block_number > safe").drop("safe"), batch)
-            rows = rows.filter("block_number <= safe").drop("safe")
-        stored = self.tables.batches("deployments", schemas.STORED, besides=batch)
-        columns = self.spark.createDataFrame([], schemas.STORED).columns
-        self.tables.append("deployments", rollups.new_rows(rows, stored, self.width).select(*columns), batch)
-        fresh = self.spark.read.schema(schemas.STORED).parquet(f"{self.root}/deployments/batch={batch}")
-        self.tables.append("block_counts", rollups.block_counts(fresh), batch)
+            rows = rows.join(F.broadcast(heads), "chain_id")  # a row for each chain
+            safe = F.col("block_number") <= F.col("head") - self.confirmations
+            self.tables.append("held", rows.filter(~safe).select(*bring), number)
+            rows = rows.filter(safe)
+        part = F.expr(f"block_number div {self.width * PART_BUCKETS}").alias("block_part")
+        staged = self.tables.append("staged", rollups.dedup_batch(rows.select(*bring)).select(*bring, part), number)
+        touched = staged.groupBy("block_part").agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).collect()
+        fresh = staged.select(*self.columns, "block_part")
+        if touched:
+            parts = [r.block_part for r in touched]
+            near = self.deployments(number)
+            near = near.filter(F.col("block_part").isin(parts) if len(parts) <= MANY_PARTS else F.col("block_part").between(min(parts), max(parts)))
+            near = near.filter(F.col("block_number").between(min(r.low for r in touched), max(r.high for r in touched)))
+            fresh = fresh.join(near.select(*rollups.KEY), rollups.KEY, "left_anti")
+        fresh = self.tables.append("deployments", fresh.sortWithinPartitions("block_part", "block_number"), number, "block_part")
+        self._counts(fresh, number)
+        if self.with_code:
+            now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+            decoded = decode.decode_live if self.kind == "binary" else decode.decode_hashes
+            self.tables.append("metadata", decoded(staged, self.metadata(number), now), number)
+        span = rollups.source_span(staged).drop("rows").join(fresh.groupBy("source_path").agg(F.count("*").alias("n")), "source_path", "left")
+        self.tables.append("sources", span.select("source_path", "start_block", "end_block", F.coalesce("n", F.lit(0).cast("long")).alias("rows"), F.lit(1).cast("long").alias("live")), number)
+        self.tables.append("heads", heads, number)  # from here on the batch counts
+
+    def _counts(self, fresh: DataFrame, number: int, change=lambda df: df) -> None:
+        """Partial counts of a batch's new rows; the counts by code are those by bucket added up."""
+        self.tables.append("block_counts", change(rollups.block_counts(fresh)), number)
+        by_bucket = self.tables.append("bucket_code_counts", change(rollups.bucket_code_counts(fresh, self.width)), number)
+        by_code = by_bucket.groupBy("chain_id", "code_hash").agg(F.sum("contract_count").alias("contract_count"), F.max("n_code_bytes").alias("n_code_bytes"))
+        self.tables.append("code_counts", by_code, number)
+
+    # -- sources
+
+    def _next(self) -> int:
+        base, after = self._batches()
+        return max([0, *base, *after]) + 1
+
+    def remove_source(self, source: str) -> None:
+        """Take a source's rows and its share of all counts away, and forget it. Rows that another source brought first stay that one's."""
+        number, gone = self._next(), self.deployments().filter(F.col("source_path") == source)
+        self._counts(gone, number, rollups.negated)
+        forgotten = self._source_sums().filter(F.col("source_path") == source)
+        self.tables.append("sources", forgotten.withColumns({"rows": -F.col("rows"), "live": -F.col("live")}), number)
+        self.tables.append("removed", self.spark.createDataFrame([(source, number)], schemas.REMOVED), number)
+        self.tables.append("heads", self.heads(), number)
+
+    def replace_source(self, source: str, rows: DataFrame) -> None:
+        """The source's rows anew, as when a snapshot is imported again."""
+        self.remove_source(source)
+        self.take(rows.withColumn("source_path", F.lit(source)), self._next())
+
+    def sync(self, files: DataFrame, read) -> list[str]:
+        """Bring the tables in line with files (source_path): new ones are taken in; if one vanished, all is built anew.
+
+        read gives the rows of a table of source paths. Returns what vanished.
+        """
+        gone = [r.source_path for r in rollups.vanished(files, self.sources()).select("source_path").take(10)]
+        if gone:
+            fresh = max(self.generations.committed("generation"), default=0) + 1
+            self.tables = Tables(self.spark, f"{self.home}/generation={fresh}")
+        new = rollups.untracked(files, self.sources())
+        if not new.isEmpty():
+            self.take(read(new), self._next())
+        if gone:
+            self.tables.mark()  # readers turn to the new generation now
+        return gone
+
+    def backfill(self) -> bool:
+        """Counts by bucket and code from the stored rows, only where there are none yet."""
+        if not self._table("bucket_code_counts", schemas.bucket_code_counts(self.kind)).isEmpty() or self.deployments().isEmpty():
+            return False
+        number = self._next()
+        self.tables.append("bucket_code_counts", rollups.bucket_code_counts(self.deployments(), self.width), number)
+        self.tables.append("heads", self.heads(), number)
+        return True
 
     def compact(self) -> None:
-        self.tables.compact("block_counts", schemas.BLOCK_COUNTS, rollups.summed)
+        """Let one folder of each table stand for all batches so far."""
+        base, after = self._batches()
+        if not after:
+            return
+        number = after[-1]
+        save = lambda name, df, *by: self.tables.base(name, df, number, *by)
+        save("deployments", self.deployments().repartition("block_part").sortWithinPartitions("block_part", "block_number"), "block_part")
+        save("block_counts", self.block_counts())
+        save("code_counts", self.code_counts())
+        save("bucket_code_counts", self.bucket_code_counts())
+        save("metadata", self.metadata())
+        save("sources", self._source_sums())
+        save("heads", self.heads())
+
+    # -- the stream
+
+    def landed(self, folder: str, files_a_tick: int = FILES_A_TICK) -> DataFrame:
+        """The stream of a folder's rows: of contract files, whose names are their sources, or of stored rows."""
+        schema = schemas.CONTRACT_FILE if self.kind == "binary" else self.brought
+        rows = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_tick).parquet(folder)
+        if "source_path" in rows.columns:
+            return rows
+        return contracts.normalized(rows.withColumn("source_path", F.col("_metadata.file_name")), "code")
 
     def run(self, landed: str, every: str | None = None, files_a_tick: int = FILES_A_TICK):
         """Start the query on a folder of landed Parquet files: once over what is there, or at an interval.
 
         A tick takes so many files at most; where the next one goes on is in the checkpoint.
         """
-        rows = self.spark.readStream.schema(schemas.STORED).option("maxFilesPerTrigger", files_a_tick).parquet(landed)
-        writer = rows.writeStream.foreachBatch(self.ingest).option("checkpointLocation", f"{self.root}/progress")
+        writer = self.landed(landed, files_a_tick).writeStream.foreachBatch(self.ingest).option("checkpointLocation", f"{self.home}/progress")
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -9,7 +9,6 @@ Compaction writes a base that stands for all batches up to a number.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+BASE = ".base"  #: after the number of a batch whose folder stands for all batches so far
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names for checkpoints; a temporary one where none is named."""
+    """A new folder in the one that the cluster names for checkpoints and that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,18 +35,41 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, below: str = ""):
+        """A path under the root, and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}{below}")
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def committed(self, prefix: str, suffix: str = "") -> list[int]:
+        """The numbers n of the folders prefix=n that were written to the end, ascending; one listing."""
+        path, fs = self._path(f"/{prefix}=*{suffix}/_SUCCESS")
+        found = (status.getPath().getParent().getName().partition("=")[2].removesuffix(suffix) for status in fs.globStatus(path) or [])
+        return sorted(int(n) for n in found if n.isdigit())
+
     def _committed(self, name: str, kind: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(folder):
-            return []
-        found = []
-        for status in fs.listStatus(folder):
-            path = status.getPath()
-            if path.getName().startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-                found.append(int(path.getName().partition("=")[2]))
-        return sorted(found)
+        return self.committed(f"{name}/{kind}")
+
+    def existing(self, name: str, base: list[int], batches: list[int]) -> list[str]:
+        """The folders of a table among those of some bases and batches; one listing."""
+        path, fs = self._path(f"/{name}/batch=*")
+        found = {status.getPath().getName() for status in fs.globStatus(path) or []}
+        return [f"{self.root}/{name}/{x}" for x in (*(f"batch={n}{BASE}" for n in base), *(f"batch={n}" for n in batches)) if x in found]
+
+    def folders(self, name: str, schema: str, base: list[int], batches: list[int]) -> DataFrame:
+        """Some bases and batches of a table; batch is a column that a schema may ask for."""
+        paths, nothing = self.existing(name, base, batches), empty(self.spark, schema)
+        if not paths:
+            return nothing
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths).select(*nothing.columns)
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table of this root, which counts once the root is marked."""
+        return self._write(df, name, ())
+
+    def mark(self) -> None:
+        """Let the root itself count as committed."""
+        path, fs = self._path("/_SUCCESS")
+        fs.create(path).close()
 
     def _read(self, paths: list[str], schema) -> DataFrame:
         if not paths:
@@ -62,8 +86,17 @@ class Tables:
     def read(self, name: str, schema) -> DataFrame:
         return self._read([f"{self.root}/{name}/version={v}" for v in self._committed(name, "version")[-1:]], schema)
 
-    def append(self, name: str, df: DataFrame, batch: int, *partition_by: str) -> None:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/batch={batch}")
+    def append(self, name: str, df: DataFrame, batch: int, *partition_by: str) -> DataFrame:
+        """Write a batch, anew if it is there, and read it back."""
+        return self._write(df, f"{name}/batch={batch}", partition_by)
+
+    def base(self, name: str, df: DataFrame, number: int, *partition_by: str) -> DataFrame:
+        """Write what stands for all batches up to a number."""
+        return self._write(df, f"{name}/batch={number}{BASE}", partition_by)
+
+    def _write(self, df: DataFrame, below: str, partition_by) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{below}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{below}")
 
     def batches(self, name: str, schema, besides: int | None = None) -> DataFrame:
         """The base and all batches after it, but for one that is being written again."""

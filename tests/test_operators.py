@@ -3,12 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from deploy_analytics import schemas
+from deploy_analytics import jobs, schemas
 from deploy_analytics.operators import analytics, blocktime, decode, explorer, extract, rollups, verification
 from deploy_analytics.sources import contracts, landed
 from deploy_analytics.streaming.follow import Follower
 from deploy_analytics.tables import Tables
 
+# Published checkpoints and the windows that follow from them.
 CHECKPOINTS = [
     (1, 24_000_000, 1_765_584_371), (1, 25_497_188, 1_783_626_143), (100, 46_762_380, 1_781_798_438), (100, 47_119_233, 1_783_626_150), (9999, 100, 1000), (9999, 200, 2000),
 ]
@@ -94,27 +95,87 @@ def test_traces_of_a_block(spark):
         extract.deployments(too_high).collect()
 
 
+STORED = schemas.stored("bigint")
+
+
+def follower_of_numbers(spark, path):
+    return Follower(spark, f"file://{path}/out", 0, kind="bigint", with_code=False)
+
+
 def test_overlapping_files_count_once(spark, tmp_path):
     rows = [(1, 300, 0, 5, 1, 9, 2, "a"), (1, 301, 0, 6, 1, 9, 2, "a")]
-    follower = Follower(spark, f"file://{tmp_path}/out", confirmations=0)
+    follower = follower_of_numbers(spark, tmp_path)
     for i, part in enumerate((rows, rows[:1], [])):
-        spark.createDataFrame(part, schemas.STORED).write.parquet(f"{tmp_path}/in/{i}")
+        spark.createDataFrame(part, STORED).write.parquet(f"{tmp_path}/in/{i}")
     for i in range(3):
         follower.ingest(spark.read.parquet(f"{tmp_path}/in/{i}"), i)
     assert follower.deployments().count() == 2
     assert follower.block_counts().agg(F.sum("contract_count")).first()[0] == 2
     follower.compact()
     assert {r.block_number for r in follower.block_counts().collect()} == {300, 301}
+    assert follower.deployments().count() == 2 and follower.code_counts().first().contract_count == 2
 
 
 def test_crash_between_two_outputs_leaves_no_skew(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 300, 0, 5, 1, 9, 2, "a")], schemas.STORED)
-    follower = Follower(spark, f"file://{tmp_path}/out", confirmations=0)
-    follower.tables.append("deployments", rows, 0)  # the counts of batch 0 were never written
+    rows = spark.createDataFrame([(1, 300, 0, 5, 1, 9, 2, "a")], STORED)
+    follower = follower_of_numbers(spark, tmp_path)
+    # the counts of batch 0 were never written, so nobody sees its rows
+    follower.tables.append("deployments", rows.withColumn("block_part", F.lit(0).cast("long")), 1000, "block_part")
+    assert follower.deployments().count() == 0
     follower.ingest(rows, 0)
     assert follower.deployments().count() == 1 and follower.block_counts().first().contract_count == 1
 
 
+def test_removing_and_rebuilding_sources(spark, tmp_path):
+    a, b_ = [(1, 300, 0, 5, 1, 9, 2, "a"), (1, 301, 0, 6, 1, 9, 2, "a")], [(1, 301, 0, 6, 1, 9, 2, "b"), (1, 302, 0, 7, 1, 8, 3, "b"), (2, 5, 0, 7, 1, None, None, "b")]
+    follower, rows = follower_of_numbers(spark, tmp_path), spark.createDataFrame(a + b_, STORED)
+    files = lambda *x: spark.createDataFrame([(n,) for n in x], "source_path string")
+    read = lambda new: rows.join(new, "source_path", "left_semi")
+    assert follower.sync(files("a"), read) == [] and follower.sync(files("a", "b"), read) == []
+    blocks = lambda: {r.block_number: r.contract_count for r in follower.block_counts().collect()}
+    codes = lambda: {r.code_hash: r.contract_count for r in follower.code_counts().collect()}
+    assert blocks() == {300: 1, 301: 1, 302: 1, 5: 1} and codes() == {9: 2, 8: 1}
+    follower.remove_source("a")
+    assert blocks() == {302: 1, 5: 1} and codes() == {8: 1} and {r.source_path for r in follower.sources().collect()} == {"b"}
+    assert {r.block_number for r in follower.deployments().collect()} == {302, 5}
+    follower.compact()
+    assert blocks() == {302: 1, 5: 1} and {r.code_hash for r in follower.bucket_code_counts().collect()} == {8}
+    assert follower.sync(files("a", "b"), read) == [] and blocks() == {300: 1, 301: 1, 302: 1, 5: 1}
+    assert follower.sync(files("b"), read) == ["a"]
+    again = follower_of_numbers(spark, tmp_path)
+    assert {r.block_number: r.contract_count for r in again.block_counts().collect()} == {301: 1, 302: 1, 5: 1}
+    assert not again.backfill()
+
+
+def test_contract_files_of_binary_keys(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def write(name, chain, blocks, fill):
+        n = len(blocks)
+        same = lambda size, x: pa.array([bytes([x]) * size] * n, pa.binary(size))
+        columns = {
+            "block_number": pa.array(blocks, pa.uint32()), "block_hash": same(32, fill), "create_index": pa.array([0] * n, pa.uint32()), "transaction_hash": same(32, fill),
+            "contract_address": same(20, fill + 2), "deployer": same(20, fill + 3), "factory": pa.nulls(n, pa.binary(20)), "init_code": pa.array([b"\x60\x00"] * n, pa.binary()),
+            "code": pa.array([b"\x5f\x00"] * n, pa.binary()), "init_code_hash": same(32, fill), "n_init_code_bytes": pa.array([2] * n, pa.uint32()), "n_code_bytes": pa.array([2] * n, pa.uint32()),
+            "code_hash": same(32, fill + 6), "chain_id": pa.array([chain] * n, pa.uint64()),
+        }
+        (tmp_path / "in").mkdir(exist_ok=True)
+        pq.write_table(pa.table(columns), tmp_path / "in" / name)
+
+    follower = Follower(spark, f"file://{tmp_path}/out", confirmations=0)
+    write("contracts__chain_0000000001__0000000300__0000000400.parquet", 1, [300, 350], 1)
+    write("contracts__chain_0000000100__0000000300__0000000400.parquet", 100, [300], 1)
+    follower.run(str(tmp_path / "in")).awaitTermination()
+    write("contracts__chain_0000000001__0000000350__0000000500.parquet", 1, [350, 500], 1)
+    follower.run(str(tmp_path / "in")).awaitTermination()
+    assert {(r.chain_id, r.block_number, r.contract_count) for r in follower.block_counts().collect()} == {(1, 300, 1), (1, 350, 1), (1, 500, 1), (100, 300, 1)}
+    assert {(r.chain_id, bytes(r.code_hash), r.contract_count) for r in follower.code_counts().collect()} == {(1, bytes([7]) * 32, 3), (100, bytes([7]) * 32, 1)}
+    assert [r.uses_push0 for r in follower.metadata().collect()] == [True]
+    assert {r.source_path.split("__")[2]: r.rows for r in follower.sources().filter("source_path like '%chain_0000000001%'").collect()} == {"0000000300": 2, "0000000350": 1}
+    assert {r.chain_id: r["head"] for r in follower.heads().collect()} == {1: 500, 100: 300}
+
+
 def test_tolerant_reading(spark, tmp_path):
     spark.createDataFrame([(5, bytearray(b"x" * 20), bytearray(b"\x60\x00"))], "block_number int, contract_address binary, code binary").write.parquet(f"{tmp_path}/one.parquet")
     spark.createDataFrame([(6, bytearray(b"y" * 20), 7)], "block_number int, contract_address binary, n_code_bytes int").write.parquet(f"{tmp_path}/two.parquet")
@@ -174,3 +235,41 @@ def test_old_generation_is_padded(spark):
 def test_landed_traces_keep_order(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"chain_id":1,"block_number":2,"traces":[{"type":"call","action":{"from":"0x1"},"traceAddress":[]},{"type":"create","action":{"from":"0x2"},"traceAddress":[0]}]}\n')
     assert [(r.pos, r.trace.type) for r in landed.traces(spark, str(tmp_path)).collect()] == [(0, "call"), (1, "create")]
+
+
+def test_wide_table_is_rebuilt_only_when_needed(spark, tmp_path):
+    deployments = lambda *blocks: spark.createDataFrame([(1, x, 0, x, 7, 100) for x in blocks], "chain_id long, block_number long, create_index long, contract_address long, code_hash long, n_code_bytes long")
+    flags = {f: False for f in decode.FLAGS}
+    meta = spark.createDataFrame([{"code_hash": 7, "language": "solidity", "compiler_version": "0.8", "decoded_at": 1, **flags}], "code_hash long, language string, compiler_version string, decoded_at long, " + ", ".join(f"{f} boolean" for f in decode.FLAGS))
+    labels = lambda *rows: spark.createDataFrame(list(rows), "chain_id long, contract_address long, is_verified boolean, contract_name string, match_type string, block_number long")
+    one, wide = labels((1, 10, True, None, "runtime", 10)), jobs.WideTable(spark, f"file://{tmp_path}/wide")
+    assert wide.refresh(deployments(10, 20), meta, one) and not wide.refresh(deployments(10, 20), meta, one)
+    assert not wide.refresh(deployments(10, 20, 30), meta, one)
+    assert wide.served(deployments(10, 20, 30), meta).filter("is_decoded").count() == 3
+    assert wide.refresh(deployments(10, 15, 20, 30), meta, one)
+    assert wide.refresh(deployments(10, 15, 20, 30), meta, labels((1, 10, True, None, "runtime", 10), (1, 20, True, None, "runtime", 20)))
+    assert wide.table("wide").filter("is_verified").count() == 2 and wide.table("bounds").first().bound == 30
+    wide.next().put("wide", deployments(1))  # a build that died before its mark
+    assert wide.table("wide").count() == 4
+
+
+def test_registry_is_updated_and_repaired(spark, tmp_path):
+    deployed = spark.createDataFrame([(1, 1, 11, 5, 0, "d"), (2, 1, 12, 6, 0, "d"), (3, 1, 13, 7, 0, "d")], "id long, chain_id long, address long, block_number long, transaction_index long, file string")
+    verified = spark.createDataFrame([(1, 100, "v1"), (2, 100, "v2"), (3, 100, "v2")], "deployment_id long, created_at long, file string")
+    verified = verified.withColumns({c: F.lit(True) for c in ("runtime_match", "creation_match", "runtime_metadata_match", "creation_metadata_match")})
+    listing = lambda *names: spark.createDataFrame([(n, 1, 1, n == "d") for n in names], "path string, length long, modified long, is_deployment boolean")
+    registry = jobs.Registry(spark, f"file://{tmp_path}/registry", 1)
+    addresses = lambda: {r.contract_address for r in registry.table("labels").collect()}
+    assert registry.refresh(listing("d", "v1"), deployed, verified.filter("file = 'v1'"), 0) == "imported" and addresses() == {11}
+    assert registry.refresh(listing("d", "v1", "v2"), deployed, verified, 0) == "updated" and addresses() == {11, 12, 13}
+    assert registry.refresh(listing("d", "v1", "v2"), deployed, verified, 0) == "unchanged"
+    broken = registry.table("labels").filter("contract_address <> 12")
+    other = {n: registry.table(n) for n in ("manifest", "lineage", "imports")}
+    new = registry.next()
+    new.put("labels", broken)
+    for name, df in other.items():
+        new.put(name, df)
+    new.mark()
+    assert addresses() == {11, 13}
+    assert registry.refresh(listing("d", "v1", "v2"), deployed, verified, 0) == "repaired" and addresses() == {11, 12, 13}
+    assert registry.refresh(listing("d", "v1"), deployed, verified.filter("file = 'v1'"), 0) == "updated" and addresses() == {11}
