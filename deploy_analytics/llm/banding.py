@@ -1,9 +1,8 @@
 """Links between texts from banded signatures without emitting all pairs of a large bucket (DataFrame functions only).
 
 Pairs of small buckets are all compared. In a large one leaders are compared with
-all others first, then some members of its largest component with those still
-outside. What is left are pairs between components, and for these there is an exact
-way that doesn't depend on the buckets: of two sets whose Jaccard similarity reaches t, put
+all others first. What is left are pairs between components, and for these there is
+an exact way that doesn't depend on the buckets: of two sets whose Jaccard similarity reaches t, put
 in one common order of tokens (rare ones first), the longer one's first n - ceil(t n) + 1
 tokens and the shorter one's first n - ceil(2 t n / (1 + t)) + 1 have one in common, and the
 first one in common stands early enough in both that the rest can still make up the overlap.
@@ -14,7 +13,6 @@ tokens are rarer and come first.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +20,6 @@ from pyspark.sql import functions as F
 from . import graph, store
 
 LEADERS = 3  #: members of a large bucket that are compared with all others
-TURNS = 1  #: times that members of a bucket's largest component are compared with the others
 
 
 def _agreeing(pairs: DataFrame, sk: DataFrame, agree: int) -> DataFrame:
@@ -45,24 +42,15 @@ def _leader_pairs(active: DataFrame) -> DataFrame:
     return active.join(lead, "bucket").filter("rep <> leader").select(*_ordered("rep", "leader")).distinct()
 
 
-def _open_members(active: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """(bucket, rep, c, main) of the buckets that links leave in several components: a member's, and the largest of its bucket."""
-    links, inside = reduce(DataFrame.unionByName, (f.select("a", "b") for f in found)), active.select("rep").distinct()
+def _open_members(active: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, c) of the members, with their components, of buckets that links leave in several components."""
+    inside = active.select("rep").distinct()
     for end in ("a", "b"):
         links = links.join(inside.select(F.col("rep").alias(end)), end, "left_semi")
-    of = graph.components(links)
+    of = graph.components(links.select("a", "b"))
     known = active.join(of, active["rep"] == of["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-    sizes = known.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "c"))["c"].alias("main")).filter("components > 1")
-    return store.materialize(known.join(per.select("bucket", "main"), "bucket"), "open-members")
-
-
-def _main_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Some members of each bucket's largest component with the bucket's members outside it."""
-    orders = [F.struct(F.xxhash64("rep", F.lit(LEADERS * (turn + 1) + i)), "rep") for i in range(LEADERS)]
-    lead = members.filter("c = main").groupBy("bucket").agg(*(F.max(o)["rep"].alias(f"l{i}") for i, o in enumerate(orders)))
-    lead = lead.select("bucket", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("leader"))
-    return members.filter("c <> main").join(lead, "bucket").select(*_ordered("rep", "leader")).distinct()
+    several = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    return store.materialize(known.join(several.select("bucket"), "bucket").select("rep", "c").distinct(), "open-members")
 
 
 def _early_pairs(tokens: DataFrame, least: float) -> DataFrame:
@@ -104,13 +92,9 @@ def links(
     large = not active.isEmpty()
     met = pairs.unionByName(_leader_pairs(active)).distinct() if large else pairs
     compared = lambda p: verify(store.materialize(_agreeing(p, reps, agree), "pairs"))
-    found = [compared(met)]
-    for turn in range(TURNS + 1 if large else 0):
-        members = _open_members(active, found)
-        if members.isEmpty():
-            break
-        if turn < TURNS:
-            found.append(compared(_main_pairs(members, turn)))
-        else:
-            found.append(compared(_early_pairs(first_tokens(members.select("rep", "c").distinct()), least)))
-    return store.materialize(reduce(DataFrame.unionByName, found).dropDuplicates(["a", "b"]), "all-links")
+    found = compared(met)
+    members = _open_members(active, found) if large else None
+    if members is None or members.isEmpty():
+        return found
+    rest = compared(_early_pairs(first_tokens(members), least))
+    return store.materialize(found.unionByName(rest).dropDuplicates(["a", "b"]), "all-links")
