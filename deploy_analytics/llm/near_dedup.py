@@ -249,7 +249,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", small_buck
         return store.materialize(found, name)
 
     # shingles cost far more than a text's bytes tell: small tables are dealt over many tasks too
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         found = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "candidate-texts")
