@@ -9,6 +9,7 @@ Compaction writes a base that stands for all batches up to a number.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,10 +21,17 @@ BASE = ".base"  #: after the number of a batch whose folder stands for all batch
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names for checkpoints and that all executors share."""
+    """A new folder in the one that the cluster names for checkpoints and that all executors share.
+
+    Where none is named, a local session, all of it one process, gets a temporary
+    one; a cluster is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
