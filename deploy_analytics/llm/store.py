@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -13,10 +14,17 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share."""
+    """The folder in spark.checkpoint.dir, which the driver and all executors share.
+
+    Where none is named, a local session, all of it one process, gets a temporary
+    one; a cluster is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
