@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import unicodedata
 
 TOGETHER = 200  #: texts whose new parts are encoded together
 MEMO = 400_000  #: parts of the current generation; the one before it is kept too
@@ -77,11 +78,16 @@ def _without_signs(part: bytes) -> tuple[bytes, bytes] | None:
     """A word and the signs behind it: no token spans a letter or digit and a sign, and signs in a row are one part."""
     text = part.decode()
     word = text.rstrip(SIGNS)
-    if not word or len(word) == len(text) or not (word[-1] < "\u0250" and word[-1].isalpha() or "0" <= word[-1] <= "9"):
+    if not word or len(word) == len(text) or not (_latin_letter(word[-1]) or "0" <= word[-1] <= "9"):
         return None
     return word.encode(), text[len(word) :].encode()
 
 
+def _latin_letter(c: str) -> bool:
+    """Whether c is a Latin letter and normalizing it, which lower-cases, ends in a letter too: that of U+0130 ends in a combining dot."""
+    return c < "\u0250" and c.isalpha() and unicodedata.normalize("NFC", c.lower())[-1].isalpha()
+
+
 def _plain_word(text: str) -> bool:
     """Lower-case Latin letters alone: normalizing and splitting leave them as they are."""
     return text.isalpha() and max(text) < "\u0250" and text == text.lower()

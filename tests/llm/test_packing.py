@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import public_tokenizers
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -47,6 +47,8 @@ def test_query_against_plain_tokenizing(spark):
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from([*"abcÉéßÀñİſ19 .,'!?-#$\n\t\u0301\u00a0", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|"]), st.characters(codec="utf-8")), max_size=30).map("".join))
+@example("İ:")
+@example("aİ.İ-b")
 def test_word_ids_of_any_text(text):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = plain_tokenizer(path)
