@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, collocation, exact_dedup, license_scan, line_dedup, lm_score, merkle, near_dedup, packing, secret_scan, toxicity, variants
+from . import byte_bpe, chat, collocation, exact_dedup, license_scan, line_dedup, lm_score, merkle, near_dedup, packing, secret_scan, toxicity, variants
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_chat_formatting": chat.op12_chat_formatting,
     "op13_collocations": collocation.op13_collocations,
 }
 
 ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_chat_formatting": chat.ORACLE,
     "op13_collocations": collocation.ORACLE,
 }
