@@ -3,15 +3,15 @@
 The suffixes of all pieces, cut off after a phrase's greatest length, are partitioned
 vertically by the words that they begin with. A prefix that occurs less often than a
 candidate must roots no subtree, so the partitioning first counts words, then pairs of
-neighbouring frequent words, and a suffix ends before its first rare pair: none of what
-is cut off can be a candidate or a part of one. Prefixes start with two words; one with
+neighbouring frequent words, then triples of frequent pairs, and a suffix ends before its
+first rare triple: none of what is cut off can be a candidate or a part of one. Prefixes start with two words; one with
 more distinct suffixes than the memory budget is extended by a word. Each task then
 takes whole prefixes, groups them up to the budget, and builds the subtrees of a group
 by themselves: the group's suffixes are the leaves, with the number of their
 occurrences, and a node's count is the total of the leaves below it.
 
-What travels to the tasks has a fixed size: two bitmaps of 2 ** 26 bits of hashed words
-and pairs, which may let a rare one pass and never lose a frequent one. Counts are made
+What travels to the tasks has a fixed size: bitmaps of 2 ** 26 bits of hashed words, pairs
+and triples, which may let a rare one pass and never lose a frequent one. Counts are made
 from the words themselves.
 """
 
@@ -36,7 +36,8 @@ NORMAL = bytes.maketrans(PIECE_ENDS + WORD_ENDS, END * len(PIECE_ENDS) + b" " *
 
 CHUNK = 4 << 20  #: bytes of text whose words are handled together
 DISTINCT = 400_000  #: words or suffixes that a task counts before it hands the counts on
-PAIRS = 4_000_000  #: pairs that a task counts before it hands the counts on
+PHRASES = 4_000_000  #: pairs or triples that a task counts before it hands the counts on
+ROWS = 500  #: texts that are taken out of a batch together
 MEMO = 400_000  #: words whose hashes a task remembers
 BITS = 1 << 26  #: of a bitmap
 BUDGET = 4096  #: leaves of a prefix, and of a group of prefixes to which one more is added
@@ -63,13 +64,15 @@ def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for part in _parts(text.encode().translate(NORMAL)):
-                held[lang].append(part)
-                size += len(part)
-                if size >= CHUNK:
-                    yield from words()
-                    size = 0
+        for at in range(0, batch.num_rows, ROWS):
+            few = batch.slice(at, ROWS)
+            for lang, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
+                for part in _parts(text.encode().translate(NORMAL)):
+                    held[lang].append(part)
+                    size += len(part)
+                    if size >= CHUNK:
+                        yield from words()
+                        size = 0
     yield from words()
 
 
@@ -150,52 +153,64 @@ class Frequent(dict):
         return found
 
 
-def _with_pairs(batches: Iterable[pa.RecordBatch], bits: bytes) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-    """lang, words, whether a word and the next one are both frequent, and those pairs' hashes."""
+def _words(batches: Iterable[pa.RecordBatch], bits: bytes) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """lang, words and their hashes, 0 for rare words and between pieces."""
     memos: dict[str, Frequent] = {}
     for lang, words in chunks(batches):
         if sum(map(len, memos.values())) > MEMO:
             memos.clear()
         memo = memos.setdefault(lang, Frequent(lang, bits))
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        both = (h[:-1] != 0) & (h[1:] != 0)
-        yield lang, words, both, pair_hashes(h[:-1][both], h[1:][both])
+        yield lang, words, np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def pair_counter(bits):
-    """(h, n) of pairs of neighbouring frequent words."""
+def _levels(h: np.ndarray, maps: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each map, by position, whether the phrase of 2, 3, ... words from there on is frequent; and the hashes of phrases one word longer whose parts are."""
+    key, ok, levels = h, h != 0, []
+    for bits in [*maps, None]:
+        may = ok[:-1] & ok[1:]
+        key = pair_hashes(key[:-1], h[len(levels) + 1 :])
+        if bits is None:
+            return levels, key[may]
+        at = key & np.uint64(BITS - 1)
+        ok = may & (np.frombuffer(bits, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        levels.append(ok)
+
+
+def prefix_counter(word_bits, maps: list):
+    """(h, n) of phrases whose parts, one word shorter, are frequent by the maps: of pairs without any, of triples with that of pairs, ..."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-        for _, _, _, pairs in _with_pairs(batches, bits.value):
-            held.append(pairs)
-            size += len(pairs)
-            if size >= PAIRS:
+            h = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            h.sort()
+            at = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.diff([*at, len(h)]) if len(at) else at)], ["h", "n"])
+
+        for _, _, h in _words(batches, word_bits.value):
+            held.append(_levels(h, [m.value for m in maps])[1])
+            size += len(held[-1])
+            if size >= PHRASES:
                 yield counted()
-                held, size = [], 0
+                size = 0
         yield counted()
 
     return count
 
 
-def suffix_counter(word_bits, pair_bits, longest: int):
-    """(lang, phrase, n): suffixes of at least two words, cut off after longest words and before the first rare pair."""
+def suffix_counter(word_bits, maps: list, longest: int):
+    """(lang, phrase, n): suffixes of at least two words, cut off after longest words and before the first rare prefix of a part."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
-        frequent = np.frombuffer(pair_bits.value, np.uint8)
-        for lang, words, both, pairs in _with_pairs(batches, word_bits.value):
-            at = pairs & np.uint64(BITS - 1)
-            go = np.zeros(len(both) + longest, bool)  # on from a word to the next
-            go[np.flatnonzero(both)] = frequent[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-            run, more = np.zeros(len(both), np.int64), np.ones(len(both), bool)
+        for lang, words, h in _words(batches, word_bits.value):
+            levels = [np.concatenate([ok, np.zeros(len(h) + longest - len(ok), bool)]) for ok in _levels(h, [m.value for m in maps])[0]]
+            run, more = np.zeros(len(h), np.int64), np.ones(len(h), bool)
             for k in range(longest - 1):
-                more &= go[k : k + len(both)]
+                last = min(k, len(levels) - 1)
+                more &= levels[last][k - last : k - last + len(h)]
                 run += more
             starts = np.flatnonzero(run)
             counts[lang].update(b" ".join(words[i:j]) for i, j in zip(starts.tolist(), (starts + run[starts] + 1).tolist(), strict=True))
@@ -281,7 +296,7 @@ def tree_builder(least: int, budget: int):
     return build
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, budget: int = BUDGET) -> DataFrame:
+def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, budget: int = BUDGET, levels: int = 3) -> DataFrame:
     """(lang, phrase, f) of all phrases of 1 to longest words that occur at least ``least`` times, and of every lang's words together, under the empty phrase."""
     spark = docs.sparkSession
     store.python_workers(spark)
@@ -290,12 +305,14 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     words = store.materialize(words.filter(f"f >= {int(least)} or phrase = ''"), "words")
     known = words.filter("phrase <> ''").select("lang", "phrase")
     word_bits = spark.sparkContext.broadcast(bitmap(known.mapInArrow(hashed, "h long")))
-    pairs = rows.mapInArrow(pair_counter(word_bits), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    pair_bits = spark.sparkContext.broadcast(bitmap(pairs.filter(F.col("n") >= least).select("h")))
-    leaves = rows.mapInArrow(suffix_counter(word_bits, pair_bits, longest), "lang string, phrase string, n long")
+    maps: list = []
+    for _ in range(2, min(levels, longest) + 1):
+        prefixes = rows.mapInArrow(prefix_counter(word_bits, [*maps]), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        maps.append(spark.sparkContext.broadcast(bitmap(prefixes.filter(F.col("n") >= least).select("h"))))
+    leaves = rows.mapInArrow(suffix_counter(word_bits, maps, longest), "lang string, phrase string, n long")
     leaves = store.materialize(leaves.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "suffixes")
-    word_bits.destroy()
-    pair_bits.destroy()
+    for bits in (word_bits, *maps):
+        bits.destroy()
     dealt = with_prefixes(leaves, longest, budget).repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
     nodes = dealt.select("lang", "phrase", "n", "depth", "prefix").mapInArrow(tree_builder(least, budget), "lang string, phrase string, f long, whole boolean")
     nodes = store.materialize(nodes, "nodes")
@@ -307,10 +324,6 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
 # -- scores
 
 
-def _words(phrase: str = "phrase"):
-    return F.size(F.split(phrase, " "))
-
-
 def _inside(phrase: str = "phrase"):
     """All phrases of two words or more that lie contiguously inside one, itself excepted."""
     spans = lambda w: F.flatten(F.transform(F.sequence(F.lit(2), F.size(w) - 1), lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
@@ -333,7 +346,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     counts = store.materialize(phrase_counts(docs, text, lang, least, longest, budget), "phrases")
     totals = counts.filter("phrase = ''").select("lang", F.col("f").alias("n"))
     known = counts.filter("phrase <> ''")
-    phrases = known.withColumn("words", _words()).filter("words > 1")
+    phrases = known.withColumn("words", F.size(F.split("phrase", " "))).filter("words > 1")
     cuts = phrases.join(totals, "lang").select("lang", "phrase", F.col("f").alias("a"), "n", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.withColumns({"left": F.expr("substring_index(phrase, ' ', k)"), "right": F.expr("substring_index(phrase, ' ', k - words)")})
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])

@@ -70,35 +70,30 @@ def word_counts(docs: DataFrame, least_chars: int = 7, least: int = 2, change: C
     return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def _long_keys(word: str) -> Iterator[tuple[bytes, int]]:
-    """Entries of a word's rotations as numbers: each costs the same, however long the word is."""
-    head, power = [0], [1]
+def _numbers(word: str) -> Callable[[int, int], bytes]:
+    """A function from start and upto to the number of word[start:] + MARK + word[:upto]; each costs the same, however long the word is."""
+    head, power, size = [0], [1], len(word)
     for c in word:
         head.append((head[-1] * BASE + ord(c)) % PRIME)
         power.append(power[-1] * BASE % PRIME)
-    size = len(word)
 
     def number(start: int, upto: int) -> bytes:
-        """Of word[start:] + MARK + word[:upto]."""
         tail = head[size] - head[start] * power[size - start]
         return b"%d#%d" % (size - start + 1 + upto, ((tail * BASE + ord(MARK)) * power[upto] + head[upto]) % PRIME)
 
-    for i in range(size + 1):
-        yield number(i, i), WHOLE
-        if i < size:
-            yield number(i + 1, i), AGAIN if i and word[i] == word[i - 1] else FIRST
+    return number
 
 
 def rotations(word: str) -> Iterator[tuple[bytes, int]]:
     """(key, kind) of all entries of a word: size + 1 whole rotations, and size without a code point of the word."""
     size = len(word)
-    if size > TEXT_KEY:
-        yield from _long_keys(word)
-        return
+    text = lambda start, upto: (word[start:] + MARK + word[:upto]).encode()
+    number = _numbers(word) if size >= TEXT_KEY else text
+    whole, skipping = (number if n > TEXT_KEY else text for n in (size + 1, size))
     for i in range(size + 1):
-        yield (word[i:] + MARK + word[:i]).encode(), WHOLE
+        yield whole(i, i), WHOLE
         if i < size:
-            yield (word[i + 1 :] + MARK + word[:i]).encode(), AGAIN if i and word[i] == word[i - 1] else FIRST
+            yield skipping(i + 1, i), AGAIN if i and word[i] == word[i - 1] else FIRST
 
 
 def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
