@@ -45,6 +45,12 @@ def decode_addresses(rows: DataFrame, by_hash: DataFrame, source: str) -> DataFr
     return eligible(rows).select("chain_id", "contract_address", "code_hash").distinct().join(found, "code_hash").withColumn("source_file", F.lit(source))
 
 
+def file_addresses(rows: DataFrame, by_hash: DataFrame) -> DataFrame:
+    """(path, chain_id, contract_address, code_hash) and metadata of eligible rows of contract files, each address once a file."""
+    found = by_hash.select("code_hash", *FOUND)
+    return eligible(rows).select("path", "chain_id", "contract_address", "code_hash").distinct().join(found, "code_hash")
+
+
 def unfinished(files: DataFrame, completed: DataFrame) -> DataFrame:
     """Files (path, length, modificationTime) not completed with the same size and time."""
     return files.join(completed, ["path", "length", "modificationTime"], "left_anti")

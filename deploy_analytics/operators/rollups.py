@@ -61,11 +61,16 @@ def negated(counts: DataFrame) -> DataFrame:
     return counts.withColumn("contract_count", -F.col("contract_count"))
 
 
-def summed(partials: DataFrame) -> DataFrame:
-    """Counts from partial ones; keys whose count fell to zero are gone."""
-    keys = [c for c in partials.columns if c not in ("contract_count", "n_code_bytes")]
-    sizes = [F.max("n_code_bytes").alias("n_code_bytes")] if "n_code_bytes" in partials.columns else []
-    return partials.groupBy(*keys).agg(F.sum("contract_count").alias("contract_count"), *sizes).filter("contract_count > 0")
+def summed(counts: DataFrame) -> DataFrame:
+    """Counts from all partial ones; keys whose count fell to zero are gone."""
+    return partials(counts).filter("contract_count > 0")
+
+
+def partials(counts: DataFrame) -> DataFrame:
+    """Some partial counts added up. Negative ones stay, for others to meet them; those that met theirs are gone."""
+    keys = [c for c in counts.columns if c not in ("contract_count", "n_code_bytes")]
+    sizes = [F.max("n_code_bytes").alias("n_code_bytes")] if "n_code_bytes" in counts.columns else []
+    return counts.groupBy(*keys).agg(F.sum("contract_count").alias("contract_count"), *sizes).filter("contract_count <> 0")
 
 
 def untracked(sources: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from ..functions import bytecode
 from ..functions.keccak import keccak256
 from ..operators import analytics, blocktime, decode, explorer, extract, rollups, verification
 from ..sources import contracts, landed, sinks, snapshot
-from ..streaming.follow import Follower, live_bucket_counts
-from ..tables import Tables, scratch
+from ..streaming.follow import Follower, LiveCounts, live_bucket_counts
+from ..tables import Parts, Segments, Tables, scratch
 from . import bindings as b
 from .bindings import CHECKPOINTS, DEP, GENERATIONS, LABELS, META, RAW, REGISTRY, TRACES, WIDTH
 
@@ -191,13 +191,30 @@ def snk02_full(spark, sf):
     return sinks.chunk_report(rows, sinks.planned_chunks(spark, 0, last, WIDTH), 0, done, WIDTH)
 
 
+@query(
+    "snk02_second_run",
+    f"""WITH {DEP}, ends AS (SELECT max(block_number) AS last FROM dep), plan AS (SELECT unnest(range(0, last // 1000 + 1)) AS chunk FROM ends), f AS (SELECT block_number // 1000 AS chunk, count(*) AS n, min(block_number) AS a, max(block_number) AS z FROM dep GROUP BY 1),
+    all_ AS (SELECT p.chunk, p.chunk * 1000 AS first_block, least(last, p.chunk * 1000 + 999) AS last_block, coalesce(n, 0) AS rows, a AS min_block, z AS max_block FROM plan p CROSS JOIN ends LEFT JOIN f USING (chunk))
+    SELECT *, rows > 0 AS has_bytes, CASE WHEN chunk < (SELECT max(last_block) FROM all_) // 2 // 1000 THEN 'skipped' WHEN rows = 0 THEN 'empty' ELSE 'written' END AS status FROM all_""",
+)
+def snk02_second_run(spark, sf):
+    """A run over half of the blocks, and one over all, which finds by looking what is there; a third one writes nothing."""
+    path, rows = scratch(spark, "chunks"), written(dep(spark, sf), "snk02-rows")
+    sink, last = sinks.ChunkedSink(spark, path, 0, WIDTH), rows.agg(F.max("block_number")).first()[0] or 0
+    sink.run(rows, last // 2 // WIDTH * WIDTH - 1)
+    out = sink.run(rows, last)
+    return out.select("chunk", "first_block", "last_block", "rows", "min_block", "max_block", (F.col("bytes") > 0).alias("has_bytes"), "status")
+
+
 @query("snk03_committed_batches_only", f"WITH {DEP} SELECT chain_id, count(*) AS n FROM dep GROUP BY chain_id")
 def snk03(spark, sf):
-    tables = Tables(spark, scratch(spark, "publish"))
-    tables.append("t", dep(spark, sf).filter("chain_id = 1"), 0)
-    tables.append("t", dep(spark, sf).filter("chain_id = 100"), 1)
-    tables.append("t", dep(spark, sf).filter("chain_id = 100"), 1)  # written again: replaced, not doubled
-    return tables.batches("t", None).groupBy("chain_id").agg(F.count("*").alias("n"))
+    """Two batches, one of them written twice, and one that died before its mark."""
+    tables, rows = Segments(spark, scratch(spark, "publish"), "marks"), dep(spark, sf)
+    for number, chain in ((0, 1), (1, 100), (1, 100), (2, 1)):
+        tables.append("t", rows.filter(F.col("chain_id") == chain), number)
+        if number < 2:
+            tables.append("marks", spark.range(1), number)
+    return tables.rows("t", "chain_id long", tables.cover()).groupBy("chain_id").agg(F.count("*").alias("n"))
 
 
 # ---- extraction
@@ -319,6 +336,15 @@ CODE_COUNTS = "SELECT chain_id, code_hash, count(*) AS contract_count, max(n_cod
 BUCKET_COUNTS = "SELECT chain_id, block_number // 1000 AS block_bucket, code_hash, count(*) AS contract_count, max(n_code_bytes) AS n_code_bytes FROM dep GROUP BY ALL"
 
 
+@query("rol05_levels", f"WITH {DEP} {BLOCKS}")
+def rol05_levels(spark, sf):
+    """Nine ticks by block, three segments of a level merged into one, so two stay; what was merged is deleted."""
+    follower, raw = Follower(spark, scratch(spark, "rol05"), 0, WIDTH, "bigint", with_code=False, fanout=3, grace=0), b.raw_deployments(spark, sf)
+    for batch in range(9):
+        follower.ingest(raw.filter(F.col("block_number") % 9 == batch), batch)
+    return follower.block_counts().filter(F.lit(len(follower.tables.all()) <= 2))
+
+
 @query("rol06_code_counts", f"WITH {DEP} {CODE_COUNTS}")
 def rol06(spark, sf):
     return _two_batches(spark, sf, scratch(spark, "rol06")).code_counts()
@@ -419,6 +445,19 @@ def rol12(spark, sf):
     return rows.select("block_number", "create_index", F.conv(F.hex("contract_address"), 16, 10).cast("long").alias("contract_address"), F.lower(F.hex("code_hash")).alias("code_hash"), F.col("n_code_bytes").cast("long").alias("n_code_bytes"))
 
 
+@query("rol12_bulk_load", f"WITH {DEP} {three_counts_sql('dep')}")
+def rol12_bulk(spark, sf):
+    """A snapshot is loaded in part, left alone when it comes again, and replaced by the whole one, beside a tick with rows of its own."""
+    rows, follower = dep(spark, sf), _follower(spark, scratch(spark, "rol12"))
+    codes = rows.groupBy("code_hash").agg(F.max("n_code_bytes").alias("n_code_bytes"))
+    contracts = rows.select("chain_id", "block_number", "create_index", "contract_address", F.col("code_hash").alias("bytecode_hash"))
+    follower.load("snapshot", contracts.filter("block_number % 3 > 0"), codes)
+    follower.load("snapshot", contracts, codes)
+    follower.ingest(b.raw_deployments(spark, sf).filter("source_path = 'a'"), 0)
+    follower.load("snapshot", contracts, codes, again=True)
+    return _three_counts(follower)
+
+
 @query("rol13_source_span", f"WITH {RAW} SELECT source_path, min(block_number) AS start_block, max(block_number) AS end_block, count(*) AS rows FROM raw GROUP BY source_path")
 def rol13(spark, sf):
     return rollups.source_span(b.raw_deployments(spark, sf))
@@ -523,22 +562,23 @@ def dec10(spark, sf):
 
 @query("dec11_addresses_by_source", "SELECT doc_id % 3 AS part, count(*) AS n, count(*) FILTER (doc_id % 4 = 2) AS sourced FROM documents WHERE octet_length(encode(text)) + CASE doc_id % 4 WHEN 0 THEN 12 WHEN 1 THEN 14 WHEN 2 THEN 11 ELSE 2 END <= 65536 GROUP BY 1")
 def dec11(spark, sf):
-    tables = Tables(spark, scratch(spark, "dec11"))
+    tables = Parts(spark, scratch(spark, "dec11"), "part")
     rows = trailed(spark, sf).withColumns({"chain_id": F.lit(1).cast("long"), "contract_address": F.expr("unhex(lpad(hex(code_hash), 40, '0'))")})
     by_hash = tables.swap("by_hash", decode.decode_hashes(rows, rows.limit(0), "2024-01-01"))
+    now = None
     for part in (0, 1, 2, 1):  # a file that is decoded again replaces its rows
-        tables.append("addresses", decode.decode_addresses(rows.filter(F.col("code_hash") % 3 == part), by_hash, f"file{part}"), part)
-    out = tables.batches("addresses", None)
+        found = decode.decode_addresses(rows.filter(F.col("code_hash") % 3 == part), by_hash, f"file{part}").withColumn("part", F.lit(part))
+        now = tables.replace(now, found, spark.range(part, part + 1).select(F.col("id").cast("int").alias("part")))
+    out = tables.rows(now).drop("part")
     return out.groupBy(F.expr("bigint(substr(source_file, 5))").alias("part")).agg(F.count("*").alias("n"), F.count_if("has_source_hash").alias("sourced"))
 
 
 @query("dec12_decode_hashes_once", f"WITH {CRAFT} SELECT count(*) AS n, count(*) FILTER (list_contains(t, '5F')) AS push0 FROM ops WHERE octet_length(code) BETWEEN 1 AND 65536")
 def dec12(spark, sf):
-    tables, rows = Tables(spark, scratch(spark, "dec12")), crafted(spark, sf)
-    first = decode.decode_hashes(rows.filter("code_hash % 2 = 0"), rows.limit(0), "2024-01-01")
-    tables.append("by_hash", first, 0)
-    tables.append("by_hash", decode.decode_hashes(rows.unionByName(rows), tables.batches("by_hash", None), "2024-01-02"), 1)
-    return tables.batches("by_hash", None).agg(F.count("*").alias("n"), F.count_if("uses_push0").alias("push0"))
+    tables, rows, schema = Segments(spark, scratch(spark, "dec12"), "by_hash"), crafted(spark, sf), schemas.metadata("bigint")
+    tables.append("by_hash", decode.decode_hashes(rows.filter("code_hash % 2 = 0"), rows.limit(0), "2024-01-01"), 0)
+    tables.append("by_hash", decode.decode_hashes(rows.unionByName(rows), tables.rows("by_hash", schema, tables.cover()), "2024-01-02"), 1)
+    return tables.rows("by_hash", schema, tables.cover()).agg(F.count("*").alias("n"), F.count_if("uses_push0").alias("push0"))
 
 
 FILE_STATE = "o_orderkey AS path, o_custkey AS length, o_custkey % 5 AS m FROM orders"
@@ -551,16 +591,44 @@ def dec13(spark, sf):
     return decode.unfinished(files, done).select("path")
 
 
+@query(
+    "dec13_file_job",
+    "SELECT doc_id % 4 AS part, count(*) AS n, count(*) FILTER (doc_id % 4 = 2) AS sourced, count(DISTINCT sha256(doc_id::VARCHAR)) AS hashes FROM documents WHERE octet_length(encode(text)) + CASE doc_id % 4 WHEN 0 THEN 12 WHEN 1 THEN 14 WHEN 2 THEN 11 ELSE 2 END <= 65536 GROUP BY 1",
+)
+def dec13_job(spark, sf):
+    """Contract files, decoded file by file: a first run over two; one that dies with its rows written; a repeated one; one that finds a changed file; one that finds nothing to do."""
+    root = scratch(spark, "dec13")
+    rows = trailed(spark, sf).select(
+        F.lit(1).cast("decimal(20,0)").alias("chain_id"), F.col("code_hash").alias("block_number"), F.lit(0).cast("long").alias("create_index"),
+        F.expr("unhex(lpad(hex(code_hash), 40, '0'))").alias("contract_address"), F.expr("unhex(sha2(cast(code_hash as string), 256))").alias("code_hash"), "code", F.octet_length("code").cast("long").alias("n_code_bytes"), (F.col("code_hash") % 4).alias("part"),
+    )
+    land = lambda which, name: rows.filter(which).drop("part").coalesce(1).write.mode("overwrite").parquet(f"{root}/in/{name}")
+    job, listing = jobs.DecodedFiles(spark, f"{root}/out"), lambda: contracts.list_files(spark, f"{root}/in")
+    land("part = 0", "zero")
+    land("part = 1 and block_number % 3 > 0", "one")
+    job.run(listing(), "2024-01-01", files_a_run=1)
+    land("part = 2", "two")
+    job.files._write(spark.range(5).withColumn("file_id", F.lit("half")), f"rows/in_version={job.files.version() + 1}", ["file_id"])  # a run that died before its manifest
+    job.run(listing(), "2024-01-01")
+    land("part = 1", "one")
+    land("part = 3", "three")
+    job.run(listing(), "2024-01-01")
+    if job.run(listing(), "2024-01-01"):
+        raise AssertionError("files that are done were decoded again")
+    out = job.addresses().join(listing().select(jobs.plain_path(F.col("path")).alias("path")), "path", "left_semi")  # a file written anew has another name
+    part = F.conv(F.hex("contract_address"), 16, 10).cast("long") % 4
+    return out.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.count_if("has_source_hash").alias("sourced"), F.countDistinct("code_hash").alias("hashes"))
+
+
 @query("dec14_live_decode", "SELECT count(*) AS n, count(DISTINCT code_hash) AS hashes FROM (SELECT DISTINCT sha256(doc_id::VARCHAR) AS code_hash FROM documents WHERE doc_id % 10 > 0 AND octet_length(encode(text)) BETWEEN 1 AND 65536)")
 def dec14(spark, sf):
     """Two batches that share hashes; a tenth of the hashes is malformed."""
-    tables = Tables(spark, scratch(spark, "dec14"))
+    tables, schema = Segments(spark, scratch(spark, "dec14"), "by_hash"), schemas.metadata("binary")
     hashed = F.expr("unhex(if(code_hash % 10 > 0, sha2(cast(code_hash as string), 256), 'AB'))")
     rows = b.bytecodes(spark, sf).select((F.col("code_hash") % 2).alias("half"), hashed.alias("code_hash"), "code")
-    schema = decode.decode_live(rows, rows.limit(0), "2024-01-01").schema
     for batch, part in enumerate((rows.filter("half = 0"), rows)):
-        tables.append("by_hash", decode.decode_live(part, tables.batches("by_hash", schema, besides=batch), "2024-01-01"), batch)
-    return tables.batches("by_hash", schema).agg(F.count("*").alias("n"), F.countDistinct("code_hash").alias("hashes"))
+        tables.append("by_hash", decode.decode_live(part, tables.rows("by_hash", schema, tables.cover()), "2024-01-01"), batch)
+    return tables.rows("by_hash", schema, tables.cover()).agg(F.count("*").alias("n"), F.countDistinct("code_hash").alias("hashes"))
 
 
 @query("dec15_current_by_hash", f"WITH {GENERATIONS} SELECT code_hash, compiler_version, language, decoded_at FROM (SELECT *, row_number() OVER (PARTITION BY code_hash ORDER BY decoded_at DESC NULLS LAST, compiler_version NULLS LAST) AS n FROM gens) WHERE n = 1")
@@ -942,6 +1010,25 @@ def tim09(spark, sf):
     return blocktime.due_checkpoints(heads, b.checkpoints(spark, sf))
 
 
+@query(
+    "tim09_checkpoints_of_ticks",
+    f"""WITH {RAW}, ends AS (SELECT chain_id, max(block_number) FILTER (block_number <= (SELECT max(l_orderkey) // 3 FROM lineitem)) AS h1, max(block_number) FILTER (block_number <= (SELECT max(l_orderkey) * 2 // 3 FROM lineitem)) AS h2, max(block_number) AS h3, CASE chain_id WHEN 100 THEN 17280 ELSE 6171 END AS d FROM raw GROUP BY chain_id),
+    two AS (SELECT *, CASE WHEN h2 >= h1 + d THEN h2 END AS c2 FROM ends), three AS (SELECT *, CASE WHEN h3 >= coalesce(c2, h1) + d THEN h3 END AS c3 FROM two)
+    SELECT chain_id, block_number, 1500000000 + block_number * 14 AS block_timestamp FROM (SELECT chain_id, unnest([h1, c2, c3]) AS block_number FROM three) WHERE block_number IS NOT NULL""",
+)
+def tim09_ticks(spark, sf):
+    """Ticks look up the time of heads that are due in landed headers; the last tick runs twice."""
+    root, raw = scratch(spark, "tim09"), b.raw_deployments(spark, sf)
+    blocks = raw.select("chain_id", "block_number").distinct()
+    blocks.select("*", F.concat(F.lit("0x"), F.lower(F.hex(F.expr("1500000000 + block_number * 14")))).alias("timestamp")).write.json(f"{root}/headers")
+    follower = Follower(spark, f"{root}/out", 0, WIDTH, "bigint", with_code=False, headers=lambda: landed.block_headers(spark, f"{root}/headers"))
+    last = raw.agg(F.max("block_number")).first()[0] or 0
+    for batch, upto in enumerate((last // 3, last * 2 // 3, last)):
+        follower.ingest(raw.filter(F.col("block_number") <= upto), batch)
+    follower.ingest(raw, 2)
+    return follower.checkpoints()
+
+
 # ---- wide table and views
 
 CURRENT = f"{GENERATIONS}, now AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY code_hash ORDER BY decoded_at DESC NULLS LAST, compiler_version NULLS LAST) AS n FROM gens) WHERE n = 1)"
@@ -976,10 +1063,18 @@ def ex03(spark, sf):
     return every.groupBy(kind).agg(F.count("*").alias("n"), F.count("n_code_bytes").alias("sized"), F.count("deployer").alias("deployers"))
 
 
-@query("ex04_bytecodes_view", f"WITH {DEP} SELECT code_hash, max(n_code_bytes) AS n_code_bytes, count(*) AS usage_count FROM dep GROUP BY code_hash")
+STORED_CODE = "(SELECT doc_id AS code_hash, encode(text) AS code FROM documents)"
+
+
+@query("ex04_bytecodes_view", f"WITH {DEP} SELECT d.code_hash, '0x' || lower(hex(d.code_hash)) AS code_hash_hex, max(n_code_bytes) AS n_code_bytes, sha256(any_value(c.code)) AS code_sha256, count(*) AS contract_count FROM dep d LEFT JOIN {STORED_CODE} c USING (code_hash) GROUP BY d.code_hash")
 def ex04(spark, sf):
-    rows = dep(spark, sf)
-    return explorer.bytecodes_view(rows, rollups.code_counts(rows))
+    """Counts and code as the follower stores them: two ticks, each bringing code for some rows, shared by many contracts."""
+    root, raw = scratch(spark, "ex04"), b.raw_deployments(spark, sf).join(b.bytecodes(spark, sf), "code_hash", "left")
+    follower = Follower(spark, f"{root}/out", 0, WIDTH, "bigint")
+    for i, rows in enumerate((raw.filter("create_index <= 4 and source_path = 'a'"), raw)):
+        follower.ingest(rows, i)
+    view = explorer.bytecodes_view(follower.deployments(), follower.code_counts(), follower.codes())
+    return view.select("code_hash", "code_hash_hex", "n_code_bytes", F.sha2("code", 256).alias("code_sha256"), "contract_count")
 
 
 @query("ex05_decoded_view", f"WITH {CURRENT} SELECT code_hash, '0x' || lower(hex(code_hash)) AS code_hash_hex, compiler_version FROM now")
@@ -1041,10 +1136,21 @@ def ex11_refresh(spark, sf):
     rows = written(dep(spark, sf), "ex11-rows")
     for step, kept in enumerate(("block_number <= 9000 and block_number % 7 > 0", "block_number > 9000 or block_number % 7 > 0", "true"), 1):
         rebuilt = wide.refresh(rows.filter(kept), meta, labels)
-        out.append(wide.served(rows.filter(kept), meta).agg(F.lit(step).alias("step"), F.lit(rebuilt).alias("rebuilt"), F.count("*").alias("n")))
+        out.append(wide.served(rows.filter(kept), meta).agg(F.lit(step).alias("step"), F.lit(rebuilt > 0).alias("rebuilt"), F.count("*").alias("n")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("ex11_late_row", f"WITH {WIDE} SELECT *, 1::BIGINT AS written FROM wide")
+def ex11_late_row(spark, sf):
+    """A wide table built without one block's rows in the midst of a bucket; once they come, that bucket alone is written, and the whole equals a build from nothing."""
+    wide, meta, labels = jobs.WideTable(spark, scratch(spark, "ex11"), WIDTH), b.metadata_generations(spark, sf), b.labels(spark, sf)
+    rows = written(dep(spark, sf), "ex11-rows")
+    late = rows.filter("chain_id = 1").agg(F.expr("percentile_disc(0.5) within group (order by block_number)")).first()[0]
+    wide.refresh(rows.filter(f"block_number <> {late}"), meta, labels)
+    n = wide.refresh(rows, meta, labels)
+    return wide.table("wide").select(*WIDE_COLUMNS, F.lit(n).cast("long").alias("written"))
+
+
 LIVE = f"{WIDE}, {CHECKPOINTS.replace('cp AS', 'unused AS')}, old_span AS (SELECT min(block_number) AS a, max(block_number) AS z FROM dep WHERE chain_id = 1 AND block_number <= 9000)"
 
 
@@ -1068,6 +1174,26 @@ def ex13(spark, sf):
     return view.groupBy("chain_id").agg(F.count("*").alias("n"), F.count_if("is_verified").alias("verified"), F.count_if("is_decoded").alias("decoded"))
 
 
+@query(
+    "ex13_views_by_state",
+    f"""WITH {WIDE}, old_span AS (SELECT max(block_number) AS z FROM dep WHERE chain_id = 1 AND block_number <= 9000), every AS (SELECT d.*, m.code_hash IS NOT NULL AS is_decoded, l.is_verified FROM dep d LEFT JOIN now m USING (code_hash) LEFT JOIN labels_ l ON l.chain_id = d.chain_id AND l.contract_address = d.contract_address)
+    SELECT 'fallback' AS state, chain_id, count(*) AS n, count(*) FILTER (is_verified) AS verified, min('0x' || lower(hex(contract_address))) AS least FROM every GROUP BY chain_id
+    UNION ALL SELECT 'served', chain_id, count(*), count(*) FILTER (is_verified), min('0x' || lower(hex(contract_address))) FROM wide GROUP BY chain_id""",
+)
+def ex13_views(spark, sf):
+    """The same SELECT in a session where nothing, deployments, and then the wide table is loaded."""
+    rows, meta, labels = written(dep(spark, sf), "ex13"), b.metadata_generations(spark, sf), b.labels(spark, sf)
+    old = written(_wide(spark, sf, rows), "ex13-wide")
+    states = {"empty": {}, "fallback": {"deployments": rows, "meta": meta, "labels": labels, "loaded": True}}
+    states["served"] = states["fallback"] | {"wide": old, "bound": explorer.bounds(old)}
+    out = []
+    for state, given in states.items():
+        explorer.register_views(spark, "bigint", **given)
+        found = spark.sql("SELECT chain_id, count(*) AS n, count_if(is_verified) AS verified, min(address) AS least FROM contract_metadata_all GROUP BY chain_id")
+        out.append(found.select(F.lit(state).alias("state"), "*"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---- streaming
 
 
@@ -1118,6 +1244,19 @@ def str02(spark, sf):
     return rows.groupBy("chain_id").agg(F.max("block_number").alias("last"), F.count("*").alias("n"))
 
 
+@query("str02_compaction", f"WITH {DEP}, h AS (SELECT chain_id, max(block_number) - 12 AS safe FROM dep GROUP BY 1) SELECT dep.chain_id, max(block_number) AS last, count(*) AS n FROM dep JOIN h USING (chain_id) WHERE block_number <= safe GROUP BY 1")
+def str02_compaction(spark, sf):
+    """Ticks in the order of blocks, each holding back its last rows; between them tables are merged and a source that never was is removed."""
+    follower, raw = _follower(spark, scratch(spark, "str02"), 12), b.raw_deployments(spark, sf)
+    low, high = raw.agg(F.min("block_number"), F.max("block_number")).first()
+    cuts = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high]
+    for batch, (after, upto) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        follower.ingest(raw.filter(F.col("block_number").between(after + 1, upto)), batch)
+        (follower.compact, lambda: follower.remove_source("none"), follower.compact)[batch]()
+    rows = follower.deployments()
+    return rows.groupBy("chain_id").agg(F.max("block_number").alias("last"), F.count("*").alias("n"))
+
+
 @query("str03_catch_up", f"WITH {DEP} SELECT chain_id, count(*) AS n, true AS several_ticks FROM dep GROUP BY chain_id")
 def str03(spark, sf):
     """Files that landed before the first tick are taken one at a tick."""
@@ -1125,7 +1264,7 @@ def str03(spark, sf):
     b.raw_deployments(spark, sf).repartition(3, "block_number").write.parquet(f"{root}/in")
     follower = _follower(spark, f"{root}/out")
     follower.run(f"{root}/in", files_a_tick=1).awaitTermination()
-    ticks = len(follower.tables.committed("heads/batch"))
+    ticks = len(follower.tables.cover())
     return follower.deployments().groupBy("chain_id").agg(F.count("*").alias("n"), F.lit(ticks > 1).alias("several_ticks"))
 
 
@@ -1157,12 +1296,11 @@ def str06(spark, sf):
 @query("str07_live_bucket_counts", f"WITH {RAW} SELECT chain_id, block_number // 1000 AS bucket_id, count(*) AS count FROM raw GROUP BY ALL")
 def str07(spark, sf):
     root, raw = scratch(spark, "str07"), b.raw_deployments(spark, sf)
-    raw.write.parquet(f"{root}/in")
-    stream = live_bucket_counts(spark.readStream.schema(raw.schema).parquet(f"{root}/in"), WIDTH)
-    tables = Tables(spark, f"{root}/out")
-    writer = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: tables.swap("t", rows) and None)
-    writer.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    return tables.read("t", None)
+    raw.repartition(3, "block_number").write.parquet(f"{root}/in")
+    stream = live_bucket_counts(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), WIDTH)
+    counts = LiveCounts(spark, f"{root}/out")
+    counts.start(stream, f"{root}/progress").awaitTermination()
+    return counts.table()
 
 
 @query("str08_registry_refresh", f"WITH {JOINED} {LABELLED}")

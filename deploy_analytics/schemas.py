@@ -25,7 +25,8 @@ HEADER_LINES = "chain_id long, block_number long, timestamp string"
 #: Tables of the follower; kind is the type of addresses and hashes.
 BLOCK_COUNTS = "chain_id long, block_number long, contract_count long"
 HEADS = "chain_id long, head long"
-SOURCES = "source_path string, start_block long, end_block long, rows long, live long"
+SOURCES = "source_path string, block_part long, start_block long, end_block long, rows long, live long"
+CHECKPOINTS = "chain_id long, block_number long, block_timestamp long, observed_at long"
 REMOVED = "source_path string, upto long"
 
 
@@ -44,3 +45,7 @@ def bucket_code_counts(kind: str) -> str:
 def metadata(kind: str) -> str:
     flags = "".join(f", {f} boolean" for f in ("has_source_hash", "is_erc20", "is_erc721", "is_erc1155", "is_proxy_eip1967", "is_proxy_minimal", "uses_push0"))
     return f"code_hash {kind}, language string, compiler_version string{flags}, decoded_at timestamp"
+
+
+def labels(kind: str) -> str:
+    return f"chain_id long, contract_address {kind}, is_verified boolean, contract_name string, verification_source string, match_type string, checked_at timestamp, block_number long, create_index long"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Tables, empty
+
 CHUNK_BLOCKS = 100_000
 
 
@@ -40,3 +44,62 @@ def chunk_report(rows: DataFrame, planned: DataFrame, start: int, done: DataFram
         skipped = F.coalesce("_done", skipped)
     status = F.when(skipped, "skipped").when(F.col("rows") == 0, "empty").otherwise("written")
     return out.select("chunk", "first_block", "last_block", "rows", "min_block", "max_block", status.alias("status"))
+
+
+REPORT = "chunk long, first_block long, last_block long, rows long, files long, bytes long, min_block long, max_block long, status string, started_at timestamp, finished_at timestamp"
+
+
+class ChunkedSink:
+    """Deployments in folders by chain and chunk of blocks, extracted once; hidden folders beside them hold a report for each run.
+
+    A chunk is there if a report says that it was written to its last block and the
+    listing shows its files, or that it was empty. A run that died before its report
+    has its chunks written again, each replaced as a whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, start: int, size: int = CHUNK_BLOCKS):
+        self.spark, self.path, self.start, self.size = spark, path.rstrip("/"), start, size
+        self.reports = Tables(spark, f"{self.path}/_reports")
+
+    def listed(self) -> DataFrame:
+        """(chunk, files, bytes) of the files that are there; contents aren't read."""
+        if not Tables(self.spark, self.path)._names("chain_id=*"):
+            return empty(self.spark, "chunk long, files long, bytes long")
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(self.path)
+        named = files.select(F.regexp_extract("path", r"/chunk=(-?\d+)/", 1).alias("c"), "length").filter("c <> ''")
+        return named.groupBy(F.col("c").cast("long").alias("chunk")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+    def report(self) -> DataFrame:
+        """The last run's report, as its JSON files have it."""
+        runs = self.reports.committed("run")
+        return self.spark.read.schema(REPORT).json(f"{self.reports.root}/run={runs[-1]}") if runs else empty(self.spark, REPORT)
+
+    def present(self, planned: DataFrame) -> DataFrame:
+        """(chunk) of planned chunks that are there already."""
+        said = planned.join(self.report(), ["chunk", "first_block", "last_block"])
+        there = said.join(self.listed().select("chunk", F.col("files").alias("listed")), "chunk", "left")
+        return there.filter("rows = 0 or listed is not null").select("chunk")
+
+    def run(self, rows: DataFrame, end: int) -> DataFrame:
+        """Write the chunks from start to end that aren't there; returns the report that it wrote as JSON."""
+        began = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+        number = max(self.reports.committed("run"), default=0) + 1
+        planned = planned_chunks(self.spark, self.start, end, self.size)
+        before, present = self.report(), self.reports.put(f"present={number}", self.present(planned))
+        todo = planned.join(present, "chunk", "left_anti")
+        placed = rows.filter(F.col("block_number").between(self.start, end)).withColumn("chunk", chunk_of(self.start, self.size)).join(todo.select("chunk"), "chunk", "left_semi")
+        written = not todo.isEmpty()
+        if written:
+            write_chunks(placed.drop("chunk"), self.path, self.start, present, self.size)
+        fresh = planned.join(before.select("chunk", "first_block", "last_block", "rows", "min_block", "max_block"), ["chunk", "first_block", "last_block"], "left").join(present, "chunk", "left_semi")
+        counted = empty(self.spark, "chunk long, rows long, min_block long, max_block long")
+        if written and Tables(self.spark, self.path)._names("chain_id=*"):
+            stored = self.spark.read.parquet(self.path).select(F.col("chunk").cast("long").alias("chunk"), "block_number").join(todo.select("chunk"), "chunk", "left_semi")
+            counted = stored.groupBy("chunk").agg(F.count("*").alias("rows"), F.min("block_number").alias("min_block"), F.max("block_number").alias("max_block"))
+        new = todo.join(counted, "chunk", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+        every = fresh.withColumn("status", F.lit("skipped")).unionByName(new.withColumn("status", F.when(F.col("rows") == 0, "empty").otherwise("written")))
+        every = every.join(self.listed(), "chunk", "left").fillna(0, ["files", "bytes"])
+        ended = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+        out = every.withColumns({"started_at": F.lit(began).cast("timestamp"), "finished_at": F.lit(ended).cast("timestamp")})
+        out.select(*empty(self.spark, REPORT).columns).write.mode("overwrite").json(f"{self.reports.root}/run={number}")
+        return self.report()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from deploy_analytics import jobs, schemas
 from deploy_analytics.operators import analytics, blocktime, decode, explorer, extract, rollups, verification
 from deploy_analytics.sources import contracts, landed
-from deploy_analytics.streaming.follow import Follower
+from deploy_analytics.streaming.follow import TICK, Follower
 from deploy_analytics.tables import Tables
 
 # Published checkpoints and the windows that follow from them.
@@ -120,7 +120,7 @@ def test_crash_between_two_outputs_leaves_no_skew(spark, tmp_path):
     rows = spark.createDataFrame([(1, 300, 0, 5, 1, 9, 2, "a")], STORED)
     follower = follower_of_numbers(spark, tmp_path)
     # the counts of batch 0 were never written, so nobody sees its rows
-    follower.tables.append("deployments", rows.withColumn("block_part", F.lit(0).cast("long")), 1000, "block_part")
+    follower.tables.append("deployments", rows.withColumn("block_part", F.lit(0).cast("long")), TICK, "block_part")
     assert follower.deployments().count() == 0
     follower.ingest(rows, 0)
     assert follower.deployments().count() == 1 and follower.block_counts().first().contract_count == 1
@@ -131,7 +131,8 @@ def test_removing_and_rebuilding_sources(spark, tmp_path):
     follower, rows = follower_of_numbers(spark, tmp_path), spark.createDataFrame(a + b_, STORED)
     files = lambda *x: spark.createDataFrame([(n,) for n in x], "source_path string")
     read = lambda new: rows.join(new, "source_path", "left_semi")
-    assert follower.sync(files("a"), read) == [] and follower.sync(files("a", "b"), read) == []
+    gone = lambda *x: [r.source_path for r in follower.sync(files(*x), read).collect()]
+    assert gone("a") == [] and gone("a", "b") == []
     blocks = lambda: {r.block_number: r.contract_count for r in follower.block_counts().collect()}
     codes = lambda: {r.code_hash: r.contract_count for r in follower.code_counts().collect()}
     assert blocks() == {300: 1, 301: 1, 302: 1, 5: 1} and codes() == {9: 2, 8: 1}
@@ -140,8 +141,8 @@ def test_removing_and_rebuilding_sources(spark, tmp_path):
     assert {r.block_number for r in follower.deployments().collect()} == {302, 5}
     follower.compact()
     assert blocks() == {302: 1, 5: 1} and {r.code_hash for r in follower.bucket_code_counts().collect()} == {8}
-    assert follower.sync(files("a", "b"), read) == [] and blocks() == {300: 1, 301: 1, 302: 1, 5: 1}
-    assert follower.sync(files("b"), read) == ["a"]
+    assert gone("a", "b") == [] and blocks() == {300: 1, 301: 1, 302: 1, 5: 1}
+    assert gone("b") == ["a"]
     again = follower_of_numbers(spark, tmp_path)
     assert {r.block_number: r.contract_count for r in again.block_counts().collect()} == {301: 1, 302: 1, 5: 1}
     assert not again.backfill()
@@ -249,7 +250,7 @@ def test_wide_table_is_rebuilt_only_when_needed(spark, tmp_path):
     assert wide.refresh(deployments(10, 15, 20, 30), meta, one)
     assert wide.refresh(deployments(10, 15, 20, 30), meta, labels((1, 10, True, None, "runtime", 10), (1, 20, True, None, "runtime", 20)))
     assert wide.table("wide").filter("is_verified").count() == 2 and wide.table("bounds").first().bound == 30
-    wide.next().put("wide", deployments(1))  # a build that died before its mark
+    wide.next().put("bounds", deployments(1))  # a build that died before its mark
     assert wide.table("wide").count() == 4
 
 
@@ -264,11 +265,13 @@ def test_registry_is_updated_and_repaired(spark, tmp_path):
     assert registry.refresh(listing("d", "v1", "v2"), deployed, verified, 0) == "updated" and addresses() == {11, 12, 13}
     assert registry.refresh(listing("d", "v1", "v2"), deployed, verified, 0) == "unchanged"
     broken = registry.table("labels").filter("contract_address <> 12")
-    other = {n: registry.table(n) for n in ("manifest", "lineage", "imports")}
+    state = registry.table("state").first()
+    parts = broken.select(jobs._label_part("contract_address").alias("label_part")).unionByName(registry.table("labels").select(jobs._label_part("contract_address").alias("label_part"))).distinct()
+    labels = registry.labels.replace(state.labels, broken.withColumn("label_part", jobs._label_part("contract_address")), parts)
     new = registry.next()
-    new.put("labels", broken)
-    for name, df in other.items():
-        new.put(name, df)
+    for name in ("manifest", "imports"):
+        new.put(name, registry.table(name))
+    new.put("state", spark.createDataFrame([(labels, state.lineage)], "labels long, lineage long"))
     new.mark()
     assert addresses() == {11, 13}
     assert registry.refresh(listing("d", "v1", "v2"), deployed, verified, 0) == "repaired" and addresses() == {11, 12, 13}
