@@ -23,6 +23,7 @@ Exact copies are collapsed first and share their text's class.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -125,8 +126,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similarity(a: list[int], b: list[int], least: float = LEAST) -> float:
     """L / (n + m - L) for the longest in-order alignment of L items, 0.0 if it is below least.
 
-    An alignment that reaches least leaves out few items, so it stays in a band
-    around the diagonal; matches outside it are skipped. Rows are bit vectors.
+    An alignment that reaches least leaves out few items of each, so item i of a meets
+    only items of b in a band around i. Rows are bit vectors as wide as the band, which
+    move on by one item each step; what leaves them is final.
     """
     n, m = len(a), len(b)
     need = int(np.ceil(least * (n + m) / (1 + least) - 1e-9))
@@ -134,30 +136,58 @@ def similarity(a: list[int], b: list[int], least: float = LEAST) -> float:
         return 0.0
     if need > sum((Counter(a) & Counter(b)).values()):
         return 0.0
-    width, start = n + m - 2 * need, 0
+    start = 0
     while start < min(n, m) and a[start] == b[start]:
         start += 1
     end = 0
     while end < min(n, m) - start and a[n - 1 - end] == b[m - 1 - end]:
         end += 1
     x, y = a[start : n - end], b[start : m - end]
-    places: dict[int, list[int]] = {}
-    for j, v in enumerate(y):
-        places.setdefault(v, []).append(j)
-    full = row = (1 << len(y)) - 1
+    behind, width = n - need, n + m - 2 * need + 1  # item i meets i - behind and the width - 1 items after it
+    matches, full = _matches(y), (1 << width) - 1
+    row, left = full, 0
     for i, v in enumerate(x):
-        match = 0
-        for j in places.get(v, ()):
-            if -width <= i - j <= width:
-                match |= 1 << j
+        if i:
+            left += not row & 1
+            row = row >> 1 | 1 << (width - 1)
+        match = matches(v, i - behind, width)
         if match:
             u = row & match
             row = ((row + u) | (row - u)) & full
-    aligned = start + end + len(y) - row.bit_count()
+    aligned = start + end + left + width - row.bit_count()
     got = aligned / (n + m - aligned)
     return got if got >= least - 1e-12 else 0.0
 
 
+def _matches(y: list[int]):
+    """A function from a value, a first place and a width to the bits of the places in y there that have the value.
+
+    A value in few places gives them by bisection. Those in more than the root of y's
+    length are as few, and have all their places in one bit vector.
+    """
+    places: dict[int, list[int]] = {}
+    for j, v in enumerate(y):
+        places.setdefault(v, []).append(j)
+    many: dict[int, int] = {}
+    for v, js in places.items():
+        if len(js) ** 2 > max(len(y), 1024):
+            bits = np.zeros(len(y), np.uint8)
+            bits[js] = 1
+            many[v] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def of(v: int, first: int, width: int) -> int:
+        if v in many:
+            return (many[v] >> first if first >= 0 else many[v] << -first) & ((1 << width) - 1)
+        js, match = places.get(v, ()), 0
+        for at in range(bisect_left(js, first), len(js)):
+            if js[at] >= first + width:
+                break
+            match |= 1 << (js[at] - first)
+        return match
+
+    return of
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo, recent = _Hashes(), {}
 
@@ -224,7 +254,7 @@ def _text_ids(value):
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", small_bucket: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Members (rid, key, t1, t2, rep, class, n_links) of all rows, and links (a, b, similarity) between distinct texts.
+    """Members (rid, key, t1, t2, rep, class) of all rows, and links (a, b, similarity) between distinct texts.
 
     rep numbers a distinct text, class is the least rep of its class. Null texts
     count as empty; texts without a word are alike only if equal. Rows are told apart by rid,
@@ -270,9 +300,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", small_buck
 
     links = banding.links(reps.select("rep", "sketches"), SKETCHES, ROWS, AGREE, LEAST, verify, first_tokens, small_bucket)
     of = graph.components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classed = texts.join(of, texts.rep == of.node, "left").join(ends, "rep", "left")
-    classed = classed.select("t1", "t2", "rep", F.coalesce("component", "rep").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    classed = texts.join(of, texts.rep == of.node, "left").select("t1", "t2", "rep", F.coalesce("component", "rep").alias("class"))
     return store.materialize(signed.select("rid", "key", "t1", "t2").join(classed, ["t1", "t2"]), "members"), links
 
 
@@ -283,11 +311,9 @@ def _best(members: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of docs: key, class_id (least key of its class), class_size, n_links, kept.
+    """One row per row of docs: key, class_id (least key of its class), class_size, kept.
 
-    n_links counts the verified links of the row's text to different texts (of a large
-    bucket's pairs within one class only some are verified). Of each
-    class the row with the least key stays (of repeated keys one). Nulls come last.
+    Of each class the row with the least key stays (of repeated keys one). Nulls come last.
     """
     members, _ = classes(docs, text, key)
     return (
@@ -295,7 +321,6 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             F.col("key").alias(key),
             F.col("best.key").alias("class_id"),
             "class_size",
-            "n_links",
             (F.col("rid") == F.col("best.rid")).alias("kept"),
         )
     )

@@ -1,6 +1,9 @@
 from collections import defaultdict
 from itertools import combinations
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from deploy_analytics.llm import near_dedup as nd
 
 
@@ -114,3 +117,30 @@ def test_large_buckets_lose_no_class(spark):
         found[m["class"]].add(m.key)
     want = brute(rows)
     assert {frozenset(x) for x in found.values()} == want and len(want) == 60
+
+
+def test_alignment_costs_the_band_not_the_places_of_a_shingle():
+    import time
+
+    n = 20_000
+    for a in ([1] * n, [i % 10 for i in range(n)]):
+        b = [*a]
+        a[7], b[n - 9], b[n // 2] = -1, -2, -3
+        began = time.process_time()
+        assert nd.similarity(a, b) > 0.99
+        assert time.process_time() - began < 2  # some 0.05 s; the quadratic form took fifty
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.lists(st.tuples(st.integers(0, 60), st.sampled_from("ird"), st.integers(0, 3)), max_size=8))
+def test_alignment_of_edited_sequences(a, edits):
+    b = [*a]
+    for at, kind, value in edits:
+        if kind == "i":
+            b.insert(at, value)
+        elif b:
+            at = min(at, len(b) - 1)
+            b[at : at + 1] = [value] if kind == "r" else []
+    aligned = lcs(a, b)
+    want = aligned / max(1, len(a) + len(b) - aligned)
+    assert abs(nd.similarity(a, b) - (want if want >= nd.LEAST - 1e-12 else 0.0)) < 1e-12
