@@ -90,7 +90,7 @@ class WideTable(_Versions):
                 sums = self._wide_sums(wide(deployments))
                 changed = sums.join(before, [*self.KEYS, "wide_n", "wide_hashes"], "left_anti").select(*self.KEYS)
                 gone = before.join(sums, self.KEYS, "left_anti").select(*self.KEYS)
-                # a bucket whose wide rows stay may have other deployments only above all labels and metadata; its sum is noted anew
+                # deployments can differ in a column that the wide rows of others make up for; their sums are noted anew
                 changed = changed.unionByName(self._sums(deployments).join(before, [*self.KEYS, "n", "sum_of_hashes"], "left_anti").select(*self.KEYS)).distinct()
             else:
                 below = deployments.join(F.broadcast(bound.select("chain_id", "bound")), "chain_id", "left").filter("bound is null or block_number <= bound").drop("bound")
