@@ -4,13 +4,16 @@ Units are the sentences of a text's lines, wherever they stand, and the whole te
 A unit's terms are weighed by how rare they are among all documents; terms outside
 every template count as if no document had them, so foreign words lower a likeness. A
 sentence whose cosine to a template's sentence reaches 0.6 names that license, and so
-does a whole text whose cosine to a license's own text does.
+does a whole text whose cosine to a license's own text does; of a whole text, repeated
+terms count by 1 + ln(times). What a whole text is outranks what its sentences name: a
+license's text may name other licenses and versions, and those that share most of their
+words are told apart by the others.
 
 Only units with a telling term are looked at: of each template its heaviest terms,
 as many as it takes for the rest of it to be below a cosine of 0.6 to any unit
 (without terms that hold a share q of a template's squared norm no unit gets above the
-root of 1 - q). A whole text is looked at if the terms of a license's text that it
-holds have enough of that squared norm. So no likeness is lost, however common a term is.
+root of 1 - q). A whole text is looked at if it holds as many terms of a license's text
+as the heaviest ones take to have enough of that squared norm. So no likeness is lost, however common a term is.
 
 A document that is at least half license text is a licence file and speaks for its
 directory. Documents without a license of their own take that of the nearest
@@ -20,7 +23,10 @@ directories they lie in, then documents to their directory.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +52,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-# Whole texts of short licenses. Longer ones can be given as a parameter.
-TEXTS = {
+# Whole texts of short licenses; those of long ones are files of the folder license_texts, named by their license.
+SHORT_TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
 to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
 copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
@@ -78,6 +84,14 @@ present and future rights to this software under copyright law.""",
 WHOLE = -1  #: the unit that is a whole text
 
 
+def read_texts(folder: str | Path = Path(__file__).with_name("license_texts")) -> dict[str, str]:
+    """License texts by name, from the files NAME.txt of a folder of the driver."""
+    return {p.stem: p.read_text() for p in sorted(Path(folder).glob("*.txt"))}
+
+
+TEXTS = SHORT_TEXTS | read_texts()
+
+
 def _terms(text: str) -> list[str]:
     return [t for t in re.split(TERMS, text.lower()) if t]
 
@@ -99,8 +113,6 @@ def term_counts(docs: DataFrame, text: str, vocabulary: list[str]) -> tuple[int,
 
 
 def _weights(total: int, counts: dict[str, int], vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    import math
-
     rarity = lambda n: math.log((total + 1) / (n + 1)) + 1
     return {t: rarity(counts.get(t, 0)) for t in vocabulary}, rarity(0)
 
@@ -116,16 +128,25 @@ def _telling(weights: dict[str, float]) -> set[str]:
     return out
 
 
-def _held(terms: str, squares: dict[str, float]):
-    """The sum of the squares of those terms that an array holds."""
-    part = F.create_map(*(F.lit(x) for pair in squares.items() for x in pair))
-    return F.aggregate(F.array_intersect(terms, _array(sorted(squares))), F.lit(0.0), lambda total, t: total + part[t])
+def _fewest(weights: dict[str, float]) -> int:
+    """How many terms of a license's text a text has to hold at least for a cosine of LEAST."""
+    total, held, n = sum(w * w for w in weights.values()), 0.0, 0
+    for w in sorted(weights.values(), reverse=True):
+        if held >= (LEAST**2 - 1e-6) * total:
+            break
+        held += w * w
+        n += 1
+    return n
+
+
+def _times(n: int, whole: bool) -> float:
+    return 1 + math.log(n) if whole else float(n)
 
 
 def own_licenses(
     docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", templates: dict[str, list[str]] = TEMPLATES, texts: dict[str, str] = TEXTS
 ) -> DataFrame:
-    """(rid, key, path, license, similarity, n_units, share) of every row: its best license, null if there is none.
+    """(rid, key, path, license, similarity, n_units, share) of every row: the license whose text it is, else the best of its sentences', null if there is none.
 
     Null texts count as empty. n_units counts license units, share is their part of
     the text's code points, 1 if the whole text is one. Rows are told apart by rid; other
@@ -140,12 +161,11 @@ def own_licenses(
 
     entries, telling, enough = [], set(), F.lit(False)
     for i, name, terms, whole in sentences:
-        weights = {t: terms.count(t) * rarity[t] for t in terms}
-        squares = {t: w * w for t, w in weights.items()}
-        norm = sum(squares.values()) ** 0.5
+        weights = {t: _times(n, whole) * rarity[t] for t, n in Counter(terms).items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5
         entries += [(t, i, name, whole, w * rarity[t] / norm) for t, w in weights.items()]
         if whole:
-            enough |= _held("hits", squares) >= (LEAST**2 - 1e-6) * norm**2
+            enough |= F.size(F.array_intersect("hits", _array(sorted(weights)))) >= _fewest(weights)
         else:
             telling |= _telling(weights)
     table = spark.createDataFrame(entries, "term string, template int, license string, whole boolean, part double")
@@ -162,7 +182,8 @@ def own_licenses(
 
     units = rows.select("rid", F.posexplode("units").alias("unit", "text")).unionByName(rows.filter("whole is not null").select("rid", F.lit(WHOLE).alias("unit"), F.col("whole").alias("text")))
     terms = units.select("rid", "unit", F.explode(_split(F.col("text"))).alias("term")).groupBy("rid", "unit", "term").agg(F.count("*").alias("tf"))
-    terms = store.materialize(terms, "license-terms")
+    times = F.when(F.col("unit") == WHOLE, 1 + F.log("tf")).otherwise(F.col("tf").cast("double"))
+    terms = store.materialize(terms.withColumn("tf", times), "license-terms")
     weight = F.col("tf") * F.coalesce("idf", F.lit(unknown))
     norms = terms.join(F.broadcast(idf), "term", "left").groupBy("rid", "unit").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     met = terms.join(F.broadcast(table), "term").filter((F.col("unit") == WHOLE) == F.col("whole"))
@@ -171,6 +192,7 @@ def own_licenses(
     best = F.max(F.struct("similarity", (-F.col("template")).alias("order"), "license")).alias("best")
     lengths = units.select("rid", "unit", F.char_length("text").alias("chars"))
     by_unit = near.groupBy("rid", "unit").agg(best).join(lengths, ["rid", "unit"])
+    by_unit = by_unit.withColumn("best", F.struct((F.col("unit") == WHOLE).alias("whole"), "best.*"))
     by_row = by_unit.groupBy("rid").agg(F.max("best").alias("best"), F.count("*").alias("n_units"), F.sum("chars").alias("chars"))
     return rows.drop("units", "whole").join(by_row, "rid", "left").select(
         "rid", "key", "path", F.col("best.license").alias("license"), F.col("best.similarity").alias("similarity"),

@@ -1,19 +1,31 @@
 import math
+import os
 import re
 from collections import Counter
 
 from deploy_analytics.llm import license_scan as ls
 
 
+def terms_of(text):
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def license_texts():
+    """Read here, not by the operator: short ones as stated there, long ones from their files."""
+    folder = os.path.join(os.path.dirname(ls.__file__), "license_texts")
+    return ls.SHORT_TEXTS | {name.removesuffix(".txt"): open(os.path.join(folder, name)).read() for name in sorted(os.listdir(folder))}
+
+
 def brute(rows):
-    """(key, license, origin, from_directory) from (key, path, text), unit by unit and directory by directory."""
+    """(key, license, origin, from_directory) from (key, path, text), unit by unit and directory by directory, without any candidate filter."""
     total = len(rows)
-    seen = Counter(t for _, _, text in rows for t in set(ls._terms(text or "")))
-    vocabulary = {t for all_ in [*ls.TEMPLATES.values(), ls.TEXTS.values()] for s in all_ for t in ls._terms(s)}
+    seen = Counter(t for _, _, text in rows for t in set(terms_of(text or "")))
+    whole_texts = license_texts()
+    vocabulary = {t for all_ in [*ls.TEMPLATES.values(), whole_texts.values()] for s in all_ for t in terms_of(s)}
     idf = lambda t: math.log((total + 1) / ((seen[t] if t in vocabulary else 0) + 1)) + 1
-    vector = lambda terms: {t: n * idf(t) for t, n in Counter(terms).items()}
-    templates = [(name, vector(ls._terms(s))) for name, all_ in ls.TEMPLATES.items() for s in all_]
-    texts = [(name, vector(ls._terms(s))) for name, s in ls.TEXTS.items()]
+    vector = lambda terms, whole: {t: (1 + math.log(n) if whole else n) * idf(t) for t, n in Counter(terms).items()}
+    templates = [(name, vector(terms_of(s), False)) for name, all_ in ls.TEMPLATES.items() for s in all_]
+    texts = [(name, vector(terms_of(s), True)) for name, s in whole_texts.items()]
 
     def cosine(a, b):
         dot = sum(w * b.get(t, 0) for t, w in a.items())
@@ -22,18 +34,18 @@ def brute(rows):
     own, speaking = {}, {}
     for i, (_, path, text) in enumerate(rows):
         best, chars = None, 0
-        for known, first, unit in [(templates, 0, u) for u in re.split(ls.UNITS, text or "")] + [(texts, len(templates), text or "")]:
-            v = vector(ls._terms(unit))
-            found = max(((cosine(v, t), -k, name) for k, (name, t) in enumerate(known, first)), default=None) if v else None
-            if found and found[0] >= ls.LEAST:
+        for known, first, unit, whole in [(templates, 0, u, False) for u in re.split(ls.UNITS, text or "")] + [(texts, len(templates), text or "", True)]:
+            v = vector(terms_of(unit), whole)
+            found = max(((whole, cosine(v, t), -k, name) for k, (name, t) in enumerate(known, first)), default=None) if v else None
+            if found and found[1] >= ls.LEAST:
                 best, chars = max(best or found, found), chars + len(unit)
         own[i] = best
         if best and path is not None and chars >= ls.FILE_SHARE * len(text):
-            speaking.setdefault(path.rpartition("/")[0], []).append((-best[0], best[2]))
+            speaking.setdefault(path.rpartition("/")[0], []).append((-best[1], best[3]))
     out = []
     for i, (key, path, _) in enumerate(rows):
         if own[i]:
-            out.append((key, own[i][2], "own", None))
+            out.append((key, own[i][3], "own", None))
             continue
         at = None if path is None else path.rpartition("/")[0]
         while at is not None and at not in speaking:
@@ -88,3 +100,16 @@ def test_whole_license_files(spark):
         assert result == sorted(brute(table), key=str)
         by = {r[0]: r[1:] for r in result}
         assert by[1] == ("MIT", "own", None) and by[2] == ("MIT", "inherited", "p") and by[4] == ("BSD-3-Clause", "inherited", "q") and by[5][0] is None and by[6][:2] == ("ISC", "own")
+
+
+def test_long_license_files_name_themselves_whatever_the_other_rows(spark):
+    texts = license_texts()
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause", "MIT"]
+    rows = [(10 * i + k, f"p{i}/{('LICENSE', 'src/a')[k]}", (texts[n], f"plain words number {i} about nothing")[k]) for i, n in enumerate(names) for k in (0, 1)]
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "concat('docs/', source, '/', doc_id) as path", "text")
+    alone = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    for table in (alone, alone.unionByName(corpus)):
+        by = {r.doc_id: (r.license, r.origin) for r in ls.license_scan(table).collect()}
+        for i, name in enumerate(names):
+            assert by[10 * i] == (name, "own") and by[10 * i + 1] == (name, "inherited")
+    assert got(ls.license_scan(alone)) == sorted(brute(rows), key=str)
