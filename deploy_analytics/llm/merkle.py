@@ -119,7 +119,7 @@ def by_ranges(docs: DataFrame, key: str, tie: str):
 
 
 def fingerprints_with_edit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of docs: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per row of docs: key (a number), n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text keeps the first half (rounded up) of the code points and goes on
     with as many as were cut off from the start of the next document, or all it has.
