@@ -9,6 +9,7 @@ parts that something changed in.
 from __future__ import annotations
 
 from collections.abc import Callable
+from time import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,20 @@ class _Versions:
             raise LookupError("nothing was built yet")
         return self.spark.read.parquet(f"{now.root}/{name}")
 
+    def _in_parts(self) -> dict[str, Parts]:
+        """The tables in parts, by the name under which the state notes their versions."""
+        return {}
+
+    def clean(self, grace: float = GRACE) -> None:
+        """Delete what no reader needs: states before the current one, and parts that only they used, once it is older than grace seconds."""
+        marked = {int(name.partition("=")[2]): at for name, at in self.all._marked("version=*")}
+        if not marked or marked[max(marked)] > time() - grace:
+            return
+        for name, parts in self._in_parts().items():
+            parts.clean(self._noted(name), grace)
+        for number in set(marked) - {max(marked)}:
+            self.all.delete(f"version={number}")
+
     def _noted(self, name: str) -> int | None:
         """The version of a table in parts that the current state goes with."""
         return None if self.current() is None else self.table("state").first()[name]
@@ -59,6 +74,9 @@ class WideTable(_Versions):
     def table(self, name: str) -> DataFrame:
         return self.parts.rows(self._noted("wide")).drop("block_bucket") if name == "wide" else super().table(name)
 
+    def _in_parts(self) -> dict[str, Parts]:
+        return {"wide": self.parts}
+
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("block_bucket", rollups.bucket(self.width))
 
@@ -127,21 +145,6 @@ class WideTable(_Versions):
     def served(self, deployments: DataFrame, meta: DataFrame, loaded: bool = True) -> DataFrame:
         return explorer.served_view(self.table("wide"), self.table("bounds").select("chain_id", "bound"), deployments, meta, loaded)
 
-    def clean(self, grace: float = GRACE) -> None:
-        """Delete what no reader needs: states before the current one and parts that only they used."""
-        now = self._noted("wide")
-        if now is not None:
-            self.parts.clean(now, grace)
-            self._clean_states(grace)
-
-    def _clean_states(self, grace: float) -> None:
-        from time import time
-
-        found = sorted((int(name.partition("=")[2]), at) for name, at in self.all._marked("version=*"))
-        if found and found[-1][1] <= time() - grace:
-            for number, _ in found[:-1]:
-                self.all.delete(f"version={number}")
-
 
 class Registry(_Versions):
     """Labels of a chain, in parts by address, with the files and their lineage, in parts by file, that they were made from."""
@@ -151,6 +154,9 @@ class Registry(_Versions):
         self.chain = chain
         self.labels, self.lineage = Parts(spark, f"{root}/labels", "label_part"), Parts(spark, f"{root}/lineage", "file_id")
 
+    def _in_parts(self) -> dict[str, Parts]:
+        return {"labels": self.labels, "lineage": self.lineage}
+
     def table(self, name: str) -> DataFrame:
         if name == "labels":
             return self.labels.rows(self._noted("labels")).drop("label_part")

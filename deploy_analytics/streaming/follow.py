@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from time import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,6 +268,7 @@ class Follower:
 
         read gives the rows of a table of source paths. Returns the sources that vanished (source_path).
         """
+        self._drop_generations()
         gone = self.generations.put(f"vanished/before={max(self.generations.committed('generation'), default=0)}", rollups.vanished(files, self.sources()).select("source_path"))
         rebuilt = not gone.isEmpty()
         if rebuilt:
@@ -278,6 +280,14 @@ class Follower:
             self.tables.mark()  # readers turn to the new generation now
         return gone
 
+    def _drop_generations(self) -> None:
+        """Delete what the current generation has replaced for grace seconds."""
+        marked = {int(name.partition("=")[2]): at for name, at in self.generations._marked("generation=*")}
+        if marked and marked[max(marked)] <= time() - self.grace:
+            for name, _ in self.generations._names("generation=*"):
+                if int(name.partition("=")[2]) < max(marked):
+                    self.generations.delete(name)
+
     def backfill(self) -> bool:
         """Counts by bucket and code from the stored rows, only where there are none yet."""
         if not self._table("bucket_code_counts", schemas.bucket_code_counts(self.kind)).isEmpty() or self.deployments().isEmpty():

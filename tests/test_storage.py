@@ -283,6 +283,8 @@ def test_an_update_reads_the_files_that_it_needs(spark, tmp_path):
     read.clear()
     assert registry.refresh(listing(), deployed, reading, 0) == "updated" and addresses() == {11, 12, 13, 14, 15}
     assert read == [["v4"], []]
+    registry.clean(0)
+    assert addresses() == {11, 12, 13, 14, 15} and len(glob.glob(f"{tmp_path}/registry/version=*")) == 1
     assert {(r.file, r.address) for r in registry.table("lineage").collect()} == {(n, 10 + i) for n, t in tables.items() for i in t}
 
 
@@ -336,3 +338,14 @@ def test_live_counts_write_what_changed(spark, tmp_path):
     live.update(rows((2, 7)), 2)  # a trigger that counts already
     assert spark.read.parquet(f"{tmp_path}/live/counts/segment=2-2.0").count() == 1
     assert seen() == {0: 3, 1: 4, 2: 9}
+
+
+def test_old_generations_are_deleted(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 0, 1, 1, 9, 2, "a"), (1, 2, 0, 1, 1, 9, 2, "b")], STORED)
+    own, files = follower(spark, tmp_path, grace=0), lambda *x: spark.createDataFrame([(n,) for n in x], "source_path string")
+    read = lambda new: rows.join(new, "source_path", "left_semi")
+    own.sync(files("a", "b"), read)
+    assert [r.source_path for r in own.sync(files("b"), read).collect()] == ["a"]
+    own.sync(files("b"), read)
+    assert [os.path.basename(p) for p in glob.glob(f"{tmp_path}/out/generation=*")] == ["generation=1"]
+    assert own.deployments().count() == 1
