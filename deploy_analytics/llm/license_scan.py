@@ -4,8 +4,8 @@ Units are the sentences of a text's lines, wherever they stand, and the whole te
 A unit's terms are weighed by how rare they are among all documents; terms outside
 every template count as if no document had them, so foreign words lower a likeness. A
 sentence whose cosine to a template's sentence reaches 0.6 names that license, and so
-does a whole text whose cosine to a license's own text does; of a whole text, repeated
-terms count by 1 + ln(times). What a whole text is outranks what its sentences name: a
+does a whole text whose cosine to a license's own text does; of a whole text every
+term counts once, however often it is repeated. What a whole text is outranks what its sentences name: a
 license's text may name other licenses and versions, and those that share most of their
 words are told apart by the others.
 
@@ -13,7 +13,8 @@ Only units with a telling term are looked at: of each template its heaviest term
 as many as it takes for the rest of it to be below a cosine of 0.6 to any unit
 (without terms that hold a share q of a template's squared norm no unit gets above the
 root of 1 - q). A whole text is looked at if it holds as many terms of a license's text
-as the heaviest ones take to have enough of that squared norm. So no likeness is lost, however common a term is.
+as the heaviest ones take to have 0.36 of that squared norm, and as 0.36 of its own
+terms outside all templates, of which each weighs most. So no likeness is lost, however common a term is.
 
 A document that is at least half license text is a licence file and speaks for its
 directory. Documents without a license of their own take that of the nearest
@@ -139,10 +140,6 @@ def _fewest(weights: dict[str, float]) -> int:
     return n
 
 
-def _times(n: int, whole: bool) -> float:
-    return 1 + math.log(n) if whole else float(n)
-
-
 def own_licenses(
     docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = "path", templates: dict[str, list[str]] = TEMPLATES, texts: dict[str, str] = TEXTS
 ) -> DataFrame:
@@ -161,11 +158,12 @@ def own_licenses(
 
     entries, telling, enough = [], set(), F.lit(False)
     for i, name, terms, whole in sentences:
-        weights = {t: _times(n, whole) * rarity[t] for t, n in Counter(terms).items()}
+        weights = {t: (1 if whole else n) * rarity[t] for t, n in Counter(terms).items()}
         norm = sum(w * w for w in weights.values()) ** 0.5
         entries += [(t, i, name, whole, w * rarity[t] / norm) for t, w in weights.items()]
         if whole:
-            enough |= F.size(F.array_intersect("hits", _array(sorted(weights)))) >= _fewest(weights)
+            held = F.size(F.array_intersect("hits", _array(sorted(weights))))
+            enough |= (held >= _fewest(weights)) & (held >= (LEAST**2 - 1e-6) * F.col("foreign"))
         else:
             telling |= _telling(weights)
     table = spark.createDataFrame(entries, "term string, template int, license string, whole boolean, part double")
@@ -174,7 +172,8 @@ def own_licenses(
     telling = _array(sorted(telling))
     value = store.whole_text(docs, text)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(path).alias("path"), value.alias("text"))
-    rows = rows.withColumn("hits", F.array_intersect(_split(F.col("text")), _array(vocabulary)))
+    rows = rows.withColumn("terms", F.array_distinct(_split(F.col("text")))).withColumn("hits", F.array_intersect("terms", _array(vocabulary)))
+    rows = rows.withColumn("foreign", F.size("terms") - F.size("hits"))
     found = F.filter(F.split(F.col("text"), UNITS), lambda u: F.arrays_overlap(_split(u), telling))
     units = F.when(F.arrays_overlap("hits", telling), found).otherwise(F.array().cast("array<string>"))
     rows = rows.select("rid", "key", "path", F.char_length("text").alias("n"), units.alias("units"), F.when(enough, F.col("text")).alias("whole"))
@@ -182,7 +181,7 @@ def own_licenses(
 
     units = rows.select("rid", F.posexplode("units").alias("unit", "text")).unionByName(rows.filter("whole is not null").select("rid", F.lit(WHOLE).alias("unit"), F.col("whole").alias("text")))
     terms = units.select("rid", "unit", F.explode(_split(F.col("text"))).alias("term")).groupBy("rid", "unit", "term").agg(F.count("*").alias("tf"))
-    times = F.when(F.col("unit") == WHOLE, 1 + F.log("tf")).otherwise(F.col("tf").cast("double"))
+    times = F.when(F.col("unit") == WHOLE, 1.0).otherwise(F.col("tf").cast("double"))
     terms = store.materialize(terms.withColumn("tf", times), "license-terms")
     weight = F.col("tf") * F.coalesce("idf", F.lit(unknown))
     norms = terms.join(F.broadcast(idf), "term", "left").groupBy("rid", "unit").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))

@@ -23,7 +23,7 @@ def brute(rows):
     whole_texts = license_texts()
     vocabulary = {t for all_ in [*ls.TEMPLATES.values(), whole_texts.values()] for s in all_ for t in terms_of(s)}
     idf = lambda t: math.log((total + 1) / ((seen[t] if t in vocabulary else 0) + 1)) + 1
-    vector = lambda terms, whole: {t: (1 + math.log(n) if whole else n) * idf(t) for t, n in Counter(terms).items()}
+    vector = lambda terms, whole: {t: (1 if whole else n) * idf(t) for t, n in Counter(terms).items()}
     templates = [(name, vector(terms_of(s), False)) for name, all_ in ls.TEMPLATES.items() for s in all_]
     texts = [(name, vector(terms_of(s), True)) for name, s in whole_texts.items()]
 
