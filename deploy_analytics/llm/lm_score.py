@@ -326,11 +326,12 @@ def train(events: DataFrame, leaves: Leaves, steps: int = 12, rate: float = 0.3,
     """
     dealt = store.materialize(events.coalesce(partitions), "events")
 
-    def gathered(weights: Weights | None) -> Weights:
-        total = Weights.zeros()
+    def gathered(weights: Weights | None, total: Weights) -> Weights:
+        """The partitions' sums, in total: the driver holds what one of them sends besides."""
+        total.leaf_word[:], total.leaf_skip[:] = 0, 0
         classes = np.zeros((1 + WORD_ROWS + CLASSES + PAIR_ROWS, CLASSES))
         given = weights and dealt.sparkSession.sparkContext.broadcast(weights)
-        for r in dealt.mapInArrow(_sums(given), "kind string, row int, data binary").collect():
+        for r in dealt.mapInArrow(_sums(given), "kind string, row int, data binary").toLocalIterator():
             if r.kind == "word":
                 total.leaf_word[r.row] += np.frombuffer(r.data, np.float32)
             elif r.kind == "skips":
@@ -342,16 +343,18 @@ def train(events: DataFrame, leaves: Leaves, steps: int = 12, rate: float = 0.3,
             given.destroy()  # of fixed size, and no longer needed
         return total
 
-    observed, weights = gathered(None), Weights.zeros()
+    observed, expected, weights = gathered(None, Weights.zeros()), Weights.zeros(), Weights.zeros()
     weights.bias[0] = np.log((observed.bias[0] + 1) / (observed.bias[0].sum() + CLASSES))
     by_leaf = observed.leaf_skip.sum(axis=0, dtype=np.float64).reshape(CLASSES, LEAVES)
     weights.leaf_bias[0] = np.log((by_leaf + 1) / (by_leaf.sum(axis=1, keepdims=True) + LEAVES)).ravel()
     weights.leaf_bias[0, leaves.empty] = -60.0
     for _ in range(steps):
-        expected = gathered(weights)
+        gathered(weights, expected)
         for name in ("bias", "word", "skip", "pair", "leaf_word", "leaf_skip"):
-            o, e = getattr(observed, name), getattr(expected, name)
-            getattr(weights, name).__iadd__(2 * rate * (o - e) / (o + e + 10))
+            tables = [getattr(x, name) for x in (weights, observed, expected)]
+            for at in range(0, len(tables[0]), 64):  # some rows at a time
+                w, o, e = (t[at : at + 64] for t in tables)
+                w += 2 * rate * (o - e) / (o + e + 10)
     return weights
 
 
