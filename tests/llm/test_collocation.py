@@ -55,7 +55,7 @@ def test_against_plain_loops(spark, least, top, share, budget):
     docs = [(r.lang, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = mined(spark, docs, least=least, top=top, share=share, budget=budget)
     assert len(got) == len({*got}) and {*got} == plain(docs, least, 5, top, share)
-    assert least == 100 or len(got) > 100
+    assert least == 100 or len(got) > 50
 
 
 def test_a_hot_phrase_is_split_by_longer_prefixes(spark):
