@@ -218,8 +218,11 @@ def ad_hoc(spark: SparkSession, text: str, views: dict[str, DataFrame], chain: i
     return session.sql(f"SELECT * FROM (\n{text}\n) AS q LIMIT {min(max(limit, 1), 1000)}")
 
 
-def presented(df: DataFrame) -> DataFrame:
-    """(row): each row as JSON, bytes as 0x hex, decimals as text."""
+def presented(df: DataFrame, places: dict[str, int] | None = None) -> DataFrame:
+    """(row): each row as JSON, bytes as 0x hex, decimals as text.
+
+    Floating numbers with so many places as given are texts too. What rounds to zero keeps its sign there, which a decimal doesn't have.
+    """
     shown = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
@@ -227,5 +230,7 @@ def presented(df: DataFrame) -> DataFrame:
             c = F.concat(F.lit("0x"), F.lower(F.hex(c)))
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("string")
+        elif f.name in (places or {}):
+            c = F.when(c.isNotNull(), F.format_string(f"%.{places[f.name]}f", c))
         shown.append(c.alias(f.name))
     return df.select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("row"))

@@ -276,3 +276,10 @@ def test_registry_is_updated_and_repaired(spark, tmp_path):
     assert addresses() == {11, 13}
     assert registry.refresh(listing("d", "v1", "v2"), deployed, verified, 0) == "repaired" and addresses() == {11, 12, 13}
     assert registry.refresh(listing("d", "v1"), deployed, verified.filter("file = 'v1'"), 0) == "updated" and addresses() == {11}
+
+
+def test_presented_keeps_the_sign_of_what_rounds_to_zero(spark):
+    rows = spark.createDataFrame([(1, -0.0), (2, -0.003), (3, 0.0), (4, -999.85), (5, None)], "k long, price double").withColumn("d", F.expr("cast(k as decimal(12,2))"))
+    got = [r.row for r in explorer.presented(rows, {"price": 2}).collect()]
+    prices = ['"-0.00"', '"-0.00"', '"0.00"', '"-999.85"', "null"]
+    assert got == [f'{{"k":{k},"price":{p},"d":"{k}.00"}}' for k, p in enumerate(prices, 1)]
