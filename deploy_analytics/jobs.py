@@ -69,7 +69,7 @@ class WideTable(_Versions):
 
     def __init__(self, spark: SparkSession, root: str, width: int = rollups.BUCKET_BLOCKS):
         super().__init__(spark, root)
-        self.width, self.parts = width, Parts(spark, f"{root}/wide", *self.KEYS)
+        self.width, self.parts = width, Parts(spark, f"{root}/wide", *self.KEYS, folders=["chain_id"])
 
     def table(self, name: str) -> DataFrame:
         return self.parts.rows(self._noted("wide")).drop("block_bucket") if name == "wide" else super().table(name)
@@ -125,7 +125,7 @@ class WideTable(_Versions):
         rows = self._bucketed(deployments).join(changed, self.KEYS, "left_semi").drop("block_bucket")
         written = new.put("rows", explorer.sorted_for_scans(wide(rows).drop("block_bucket"), self.width))
         noted = self._sums(rows).join(self._wide_sums(written), self.KEYS, "left")
-        version = self.parts.replace(base, written, noted, gone)
+        version = self.parts.replace(base, written.sortWithinPartitions(*self.KEYS, F.desc("block_number"), F.desc("create_index")), noted, gone)
         new.delete("rows")
         new.put("bounds", spans.select("chain_id", "first_block", F.col("last_block").alias("bound")))
         new.put("mark", mark)

@@ -218,9 +218,10 @@ class Parts(Tables):
 
     MOST = 20  #: versions in use, beyond which the next replacement writes all parts anew
 
-    def __init__(self, spark: SparkSession, root: str, *keys: str):
+    def __init__(self, spark: SparkSession, root: str, *keys: str, folders: list[str] | None = None):
+        """folders are the columns whose values have folders of their own, by default the keys; few of them where parts are many, since each costs a file."""
         super().__init__(spark, root)
-        self.keys = [*keys]
+        self.keys, self.folders = [*keys], [*keys] if folders is None else folders
 
     def version(self) -> int | None:
         found = self.committed("manifest/version")
@@ -258,7 +259,7 @@ class Parts(Tables):
                 rows = rows.unionByName(self.rows(base).join(kept.select(*self.keys), self.keys, "left_semi"))
                 kept = kept.withColumn("in_version", F.lit(new).cast("long"))
             noted = noted.select(*before.columns).unionByName(kept)
-        self._write(rows, f"rows/in_version={new}", self.keys)
+        self._write(rows, f"rows/in_version={new}", self.folders)
         self._write(empty(self.spark, rows.schema), f"columns/version={new}", ())
         self._write(noted, f"manifest/version={new}", ())
         return new
