@@ -169,7 +169,9 @@ class Follower:
             near = near.filter(F.col("block_part").isin(parts) if len(parts) <= MANY_PARTS else F.col("block_part").between(min(parts), max(parts)))
             near = near.filter(F.col("block_number").between(min(r.low for r in touched), max(r.high for r in touched)))
             rows = staged.join(near.select(*rollups.KEY), rollups.KEY, "left_anti")
-        return self.tables.append("deployments", rows.sortWithinPartitions("block_part", "block_number"), number, "block_part")
+        # dealt by block, so that a task writes files of few partitions and not one of each
+        dealt = rows.repartitionByRange("block_part", "block_number").sortWithinPartitions("block_part", "block_number")
+        return self.tables.append("deployments", dealt, number, "block_part")
 
     def _counts(self, fresh: DataFrame, number: int, change=lambda df: df) -> None:
         """Partial counts of a batch's new rows; the counts by code are those by bucket added up."""
