@@ -287,7 +287,7 @@ class DecodedFiles:
             decoded = self.files.put("work", decode.file_addresses(rows, found).withColumn("file_id", F.sha2("path", 256)).repartition("file_id", "contract_address"))
             sizes = decoded.groupBy("path").agg(F.count("*").alias("rows"))
             noted = due.join(sizes, "path", "left").withColumns({"rows": F.coalesce("rows", F.lit(0).cast("long")), "file_id": F.sha2("path", 256)})
-            self.files.replace(base, decoded, noted.select("file_id", "path", "length", "modificationTime", "rows"))
+            self.files.replace(base, decoded.repartitionByRange("file_id", "contract_address"), noted.select("file_id", "path", "length", "modificationTime", "rows"))
             self.files.delete("work")
             count += len(paths)
             if overwrite:
