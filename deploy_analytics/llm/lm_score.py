@@ -15,8 +15,9 @@ and the unknown word of each shared leaf sum to 1.
 Events are counted per (hashed word before, class before that, class), per (hashed
 word before, leaf) and per (class before that, leaf): packed rows whose number the
 hashing bounds, added up in two rounds. A gradient step over the whole corpus is one
-Spark job over them: partitions send the expected counts of their rows, the driver
-holds only the weights.
+Spark job over them. The weights of a hashed word before lie beside its events and are
+moved there; of the weights that all share (biases, skips and pairs) partitions send
+what they expect, a task adds it up, and the driver moves them.
 
 Word counts are exact and over all training documents. Words of at least one in
 ``head_words`` tokens (there can't be more of them than that) are looked up in the
@@ -266,95 +267,123 @@ class Weights:
     leaf_skip: np.ndarray
 
     @staticmethod
-    def zeros() -> Weights:
-        classes = (np.zeros((n, CLASSES)) for n in (1, WORD_ROWS, CLASSES, PAIR_ROWS))
-        return Weights(*classes, *(np.zeros((n, CELLS), np.float32) for n in (1, WORD_ROWS, CLASSES)))
-
-    def class_log_softmax(self, w: int, skip: np.ndarray) -> np.ndarray:
-        """Logs of the classes' probabilities (skips x classes) after a hashed word."""
-        z = self.bias + self.word[w] + self.skip[skip] + self.pair[pair_row(np.full(len(skip), w), skip)]
+    def zeros(words: int = WORD_ROWS) -> Weights:
+        """All weights, or those that all hashed words share (words: 0)."""
+        classes = (np.zeros((n, CLASSES)) for n in (1, words, CLASSES, PAIR_ROWS))
+        return Weights(*classes, *(np.zeros((n, CELLS), np.float32) for n in (1, words, CLASSES)))
+
+    def class_log_softmax(self, w: int, word: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Logs of the classes' probabilities (skips x classes) after a hashed word with weights of its own."""
+        z = self.bias + word + self.skip[skip] + self.pair[pair_row(np.full(len(skip), w), skip)]
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def leaf_scores(self, w: int, skip: np.ndarray) -> np.ndarray:
+    def leaf_scores(self, leaf_word: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Weights of leaves (skips x classes x leaves of the class) after a hashed word; empty leaves have a very low bias."""
-        return (self.leaf_bias + self.leaf_word[w] + self.leaf_skip[skip]).reshape(len(skip), CLASSES, LEAVES)
+        return (self.leaf_bias + leaf_word + self.leaf_skip[skip]).reshape(len(skip), CLASSES, LEAVES)
+
+
+STATE = ["kind", "row", "n", "leaf_word", "word", "data"]
 
 
-def _sums(given):
-    """For rows of events their observed counts, or those that the weights (a broadcast) expect: (kind, row, data)."""
+def _move(w: np.ndarray, observed: np.ndarray, expected: np.ndarray, rate: float) -> None:
+    w += 2 * rate * (observed - expected) / (observed + expected + 10)
+
+
+def _step(given, rate: float):
+    """For events with their words' weights (row, n, leaf_word, word) the same after a step, and what the shared weights (a broadcast) expect; without any, weights of zero and the observed counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, rows, weights = Weights.zeros(), [], given and given.value
+        out, weights = Weights.zeros(0), given and given.value
         for batch in batches:
-            for w, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            for w, data, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = np.frombuffer(data, np.float32)
                 if w >= WORD_ROWS:
-                    if weights is None:
-                        out.leaf_skip[w - WORD_ROWS] += n[:CELLS]
+                    out.leaf_skip[w - WORD_ROWS] += n[:CELLS]
                     continue
                 counts = n[:PAIRS].reshape(CLASSES, CLASSES)
                 skip = np.flatnonzero(counts.any(axis=1))
                 seen = counts[skip].astype(np.float64)
                 if weights is None:
-                    rows.append((w, n[PAIRS:].tobytes()))
+                    leaf_word, word = np.zeros(CELLS, np.float32), np.zeros(CLASSES)
                 else:
+                    leaf_word, word = np.frombuffer(own[0], np.float32).copy(), np.frombuffer(own[1]).copy()
                     # scores stay far below what float32 holds, so none is shifted first
-                    e = np.exp(weights.leaf_scores(w, skip))
+                    e = np.exp(weights.leaf_scores(leaf_word, skip))
                     e *= (counts[skip] / e.sum(axis=2))[:, :, None]
                     e = e.reshape(len(skip), CELLS)
-                    rows.append((w, e.sum(axis=0).tobytes()))
                     out.leaf_skip[skip] += e
-                    seen = np.exp(weights.class_log_softmax(w, skip)) * seen.sum(axis=1, keepdims=True)
+                    expected = np.exp(weights.class_log_softmax(w, word, skip)) * seen.sum(axis=1, keepdims=True)
+                    _move(leaf_word, n[PAIRS:], e.sum(axis=0), rate)
+                    _move(word, seen.sum(axis=0), expected.sum(axis=0), rate)
+                    seen = expected
                 out.bias[0] += seen.sum(axis=0)
-                out.word[w] += seen.sum(axis=0)
                 out.skip[skip] += seen
                 np.add.at(out.pair, pair_row(np.full(len(skip), w), skip), seen)
-        tables = [("classes", 0, np.concatenate([out.bias, out.word, out.skip, out.pair]).tobytes()), ("skips", 0, out.leaf_skip.tobytes())]
-        kinds, at, data = zip(*(tables + [("word", w, x) for w, x in rows]), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["kind", "row", "data"])
+                rows.append(("word", w, data, leaf_word.tobytes(), word.tobytes(), None))
+            yield _state(rows)
+        yield _state([("classes", 0, None, None, None, np.concatenate([out.bias, out.skip, out.pair]).tobytes()), ("skips", 0, None, None, None, out.leaf_skip.tobytes())])
 
     return run
 
 
+def _state(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], STATE)
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of tables (kind, data)."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            table = np.frombuffer(data, np.float32 if kind == "skips" else np.float64)
+            sums[kind] = sums[kind] + table if kind in sums else table
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([t.tobytes() for t in sums.values()], pa.binary())], ["kind", "data"])
+
+
 def train(events: DataFrame, leaves: Leaves, steps: int = 12, rate: float = 0.3, partitions: int = 6) -> Weights:
     """Weights by gradient steps over all events; each step is one job.
 
     A step moves a weight by the difference of observed and expected counts over
-    their mean, smoothed, so rare and frequent features learn alike. Partitions send
-    the rows of their own hashed words and one table of each other kind.
+    their mean, smoothed, so rare and frequent features learn alike. Each step is a
+    table of events and of the weights of their words, which stay in their partitions;
+    of all else one table of fixed size a step reaches the driver.
     """
-    dealt = store.materialize(events.coalesce(partitions), "events")
+    spark = events.sparkSession
 
-    def gathered(weights: Weights | None, total: Weights) -> Weights:
-        """The partitions' sums, in total: the driver holds what one of them sends besides."""
-        total.leaf_word[:], total.leaf_skip[:] = 0, 0
-        classes = np.zeros((1 + WORD_ROWS + CLASSES + PAIR_ROWS, CLASSES))
-        given = weights and dealt.sparkSession.sparkContext.broadcast(weights)
-        for r in dealt.mapInArrow(_sums(given), "kind string, row int, data binary").toLocalIterator():
-            if r.kind == "word":
-                total.leaf_word[r.row] += np.frombuffer(r.data, np.float32)
-            elif r.kind == "skips":
+    def stepped(rows: DataFrame, given) -> tuple[DataFrame, Weights]:
+        table = store.materialize(rows.mapInArrow(_step(given, rate), "kind string, row int, n binary, leaf_word binary, word binary, data binary"), "weights")
+        total = Weights.zeros(0)
+        for r in table.filter("kind <> 'word'").select("kind", "data").coalesce(1).mapInArrow(_added_up, "kind string, data binary").collect():
+            if r.kind == "skips":
                 total.leaf_skip += np.frombuffer(r.data, np.float32).reshape(CLASSES, CELLS)
             else:
-                classes += np.frombuffer(r.data).reshape(classes.shape)
-        total.bias, total.word, total.skip, total.pair = np.split(classes, np.cumsum([1, WORD_ROWS, CLASSES]))
-        if given:
-            given.destroy()  # of fixed size, and no longer needed
-        return total
+                total.bias, total.skip, total.pair = np.split(np.frombuffer(r.data).reshape(-1, CLASSES), np.cumsum([1, CLASSES]))
+        return table, total
 
-    observed, expected, weights = gathered(None, Weights.zeros()), Weights.zeros(), Weights.zeros()
+    # a table of its own, so that no task has two Python workers
+    dealt = store.materialize(events.coalesce(partitions), "events")
+    table, observed = stepped(dealt, None)
+    store.discard(dealt)
+    weights = Weights.zeros(0)
     weights.bias[0] = np.log((observed.bias[0] + 1) / (observed.bias[0].sum() + CLASSES))
     by_leaf = observed.leaf_skip.sum(axis=0, dtype=np.float64).reshape(CLASSES, LEAVES)
     weights.leaf_bias[0] = np.log((by_leaf + 1) / (by_leaf.sum(axis=1, keepdims=True) + LEAVES)).ravel()
     weights.leaf_bias[0, leaves.empty] = -60.0
+    words = lambda t: t.filter("kind = 'word'")
     for _ in range(steps):
-        gathered(weights, expected)
-        for name in ("bias", "word", "skip", "pair", "leaf_word", "leaf_skip"):
-            tables = [getattr(x, name) for x in (weights, observed, expected)]
-            for at in range(0, len(tables[0]), 64):  # some rows at a time
-                w, o, e = (t[at : at + 64] for t in tables)
-                w += 2 * rate * (o - e) / (o + e + 10)
+        given, before = spark.sparkContext.broadcast(weights), table
+        table, expected = stepped(words(before).select("row", "n", "leaf_word", "word"), given)
+        given.destroy()  # of fixed size, and no longer needed
+        store.discard(before)
+        for name in ("bias", "skip", "pair", "leaf_skip"):
+            _move(*(getattr(x, name) for x in (weights, observed, expected)), rate)
+    weights.word, weights.leaf_word = np.zeros((WORD_ROWS, CLASSES)), np.zeros((WORD_ROWS, CELLS), np.float32)
+    for r in words(table).select("row", "leaf_word", "word").toLocalIterator():
+        weights.leaf_word[r.row], weights.word[r.row] = np.frombuffer(r.leaf_word, np.float32), np.frombuffer(r.word)
+    store.discard(table)
     return weights
 
 
@@ -362,7 +391,7 @@ def score_tables(weights: Weights, leaves: Leaves) -> tuple[np.ndarray, np.ndarr
     """log10 of the class's probability over the class's sum of leaves, by (word before, skip, class); then what a leaf adds by word before, and by skip."""
     every, first = np.arange(CLASSES), np.empty((WORD_ROWS, CLASSES, CLASSES), np.float32)
     for w in range(WORD_ROWS):
-        first[w] = weights.class_log_softmax(w, every) - np.log(np.exp(weights.leaf_scores(w, every)).sum(axis=2))
+        first[w] = weights.class_log_softmax(w, weights.word[w], every) - np.log(np.exp(weights.leaf_scores(weights.leaf_word[w], every)).sum(axis=2))
     ten = np.float32(np.log(10))
     word = (weights.leaf_word + weights.leaf_bias) / ten + leaves.share.astype(np.float32)
     return (first / ten).ravel(), word.ravel(), (weights.leaf_skip / ten).ravel()

@@ -115,6 +115,19 @@ def test_events_and_one_step_match_plain_loops(spark):
         assert abs(weights.leaf_word[w, leaf] - 0.6 * (o - e) / (o + e + 10)) < 1e-4
 
 
+def test_weights_of_words_stay_in_partitions(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(lm.np, "frombuffer", lambda data, *kind: sizes.append(len(data) * (len(data) >= 8 * lm.CLASSES)) or frombuffer(data, *kind))
+    weights = fitted(spark, TEXTS, steps=3)[3]
+    shared = 8 * lm.CLASSES * (1 + lm.CLASSES + lm.PAIR_ROWS) + 4 * lm.CLASSES * lm.CELLS
+    words = (weights.word != 0).any(axis=1).sum()
+    # the driver gets one sum of the shared tables for the observed counts and each step, and the words' weights once
+    assert sum(sizes) == 4 * shared + words * (4 * lm.CELLS + 8 * lm.CLASSES) and words > 5
+
+
+frombuffer = np.frombuffer
+
+
 def test_a_frequent_word_learns_its_neighbour(spark):
     r = np.random.default_rng(1)
     texts = [" ".join(f"{a} {'left' if a == 'alpha' else 'right'}" for a in r.choice(["alpha", "beta", "gamma"], 20)) for _ in range(40)]
