@@ -349,12 +349,14 @@ def train(events: DataFrame, leaves: Leaves, steps: int = 12, rate: float = 0.3,
     A step moves a weight by the difference of observed and expected counts over
     their mean, smoothed, so rare and frequent features learn alike. Each step is a
     table of events and of the weights of their words, which stay in their partitions;
-    of all else one table of fixed size a step reaches the driver.
+    of all else one table of fixed size a step reaches the driver. However finely a
+    table's files are split when they are read, no more than ``partitions`` tasks take
+    the step, so no more tables of the shared weights are added up.
     """
     spark = events.sparkSession
 
     def stepped(rows: DataFrame, given) -> tuple[DataFrame, Weights]:
-        table = store.materialize(rows.mapInArrow(_step(given, rate), "kind string, row int, n binary, leaf_word binary, word binary, data binary"), "weights")
+        table = store.materialize(rows.coalesce(partitions).mapInArrow(_step(given, rate), "kind string, row int, n binary, leaf_word binary, word binary, data binary"), "weights")
         total = Weights.zeros(0)
         for r in table.filter("kind <> 'word'").select("kind", "data").coalesce(1).mapInArrow(_added_up, "kind string, data binary").collect():
             if r.kind == "skips":

@@ -125,6 +125,28 @@ def test_weights_of_words_stay_in_partitions(spark, monkeypatch):
     assert sum(sizes) == 4 * shared + words * (4 * lm.CELLS + 8 * lm.CLASSES) and words > 5
 
 
+def test_finely_split_files_make_no_more_shared_tables(spark, monkeypatch):
+    tables, write = [], lm.store.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "weights":
+            tables.append(out.filter("kind = 'classes'").count())
+        return out
+
+    monkeypatch.setattr(lm.store, "materialize", counted)
+    split = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in split}
+    try:
+        for k, v in split.items():
+            spark.conf.set(k, v)
+        fitted(spark, TEXTS, steps=1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(tables) == 2 and max(tables) <= 6
+
+
 frombuffer = np.frombuffer
 
 
